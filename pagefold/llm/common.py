@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +51,11 @@ def blocks(texts: list[str], chars: int) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, which runs many tasks: for what is costly to load."""
+    return sys.modules.setdefault("_pagefold_worker", types.ModuleType("_pagefold_worker")).__dict__
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

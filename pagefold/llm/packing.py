@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize
+from .common import blocks, materialize, worker_cache
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; the frequent ones come early, so later new words are encoded each time.
@@ -104,7 +104,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordTokenizer(tokenizer_path)
+        cache = worker_cache()
+        coder = cache.get(tokenizer_path) or cache.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
         end = np.array([end_id], dtype="<u4").tobytes()
         for frame in batches:
             rows = []

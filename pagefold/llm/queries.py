@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import op9_benchmark_decontamination
 from .html import op2_html_extraction
+from .lm import op10_lm_scoring
 from .packing import op5_best_fit_packing
+from .quality import op4_quality_classifier
 from .secrets import op1_secret_scan
 from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_extraction": op2_html_extraction,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {}
