@@ -90,14 +90,22 @@ def count_words(chunks: DataFrame) -> DataFrame:
     often is the word itself where it makes up a 20,000th of its chunk's training tokens or more: each word that frequent
     overall has such a row.
     """
-    listed = chunks.select("chunk", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"), F.posexplode(F.arrays_zip(F.split("words", "\n").alias("word"), F.col("counts").alias("c"))).alias("number", "own"))
-    flat = listed.select("chunk", "number", F.col("own.word").alias("word"), F.col("own.c").alias("c"), "size")
+
+    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for row in frame.itertuples(index=False):
+                words, counts = row.words.split("\n"), np.asarray(row.counts, dtype=np.int64)
+                suffix = np.array([suffix_class(w) for w in words], dtype=np.int32)
+                suffix[0] = SUFFIXES
+                common = counts * 20_000 >= max(1, counts.sum())
+                for at in range(0, len(words), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    often = np.where(common[part], np.array(words[part], dtype=object), None)
+                    yield pd.DataFrame({"chunk": row.chunk, "number": np.arange(at, at + len(often), dtype=np.int32), "word": words[part], "c": counts[part], "suffix": suffix[part], "often": often})
+
+    listed = chunks.select("chunk", "words", "counts").mapInPandas(flat, "chunk long, number int, word string, c long, suffix int, often string")
     whole = Window.partitionBy("word")
-    return flat.select(
-        "chunk", "number", F.sum("c").over(whole).alias("n"), (F.min("chunk").over(whole) == F.col("chunk")).alias("first"),
-        F.when(F.col("word") == END, SUFFIXES).otherwise(F.pmod(F.crc32(F.encode(F.right("word", F.lit(2)), "UTF-8")), F.lit(SUFFIXES))).cast("int").alias("suffix"),
-        F.when(F.col("c") * 20_000 >= F.greatest("size", F.lit(1)), F.col("word")).alias("often"),
-    )
+    return listed.select("chunk", "number", F.sum("c").over(whole).alias("n"), (F.min("chunk").over(whole) == F.col("chunk")).alias("first"), "suffix", "often")
 
 
 class Vocabulary:

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the models are fitted and calibrated on, and rows that co-training may give pseudo-labels.
-LABELLED = 6_000
-UNLABELLED = 3_000
+LABELLED = 12_000
+UNLABELLED = 4_000
 #: Hashed features of the text view: words, then shapes and repetition; and of the metadata view.
-WORDS = 1 << 16
+WORDS = 1 << 18
 SHAPES = 1 << 8
 META = 1 << 8
 ROUNDS = 3
@@ -121,7 +121,7 @@ class Linear:
         return rows.times(self.weights) + self.bias
 
 
-def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1, steps: int = 150, smooth: float = 0.5) -> Linear:
+def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 0.01, steps: int = 200, smooth: float = 0.5) -> Linear:
     """Logistic regression on features scaled by their log-count ratios, by accelerated gradient steps."""
     positive, negative = weight * y, weight * (1 - y)
     p, q = rows.transposed(positive) + smooth, rows.transposed(negative) + smooth
@@ -203,9 +203,9 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, part: np.ndarray, build) -> T
 
 
 def fit_targets(features: pd.DataFrame, targets: tuple[str, ...]) -> dict[str, Target]:
-    """features: columns ti, tv, mi (arrays), part, and each target (0, 1 or null)."""
-    text = [(np.asarray(i, dtype=np.int32), np.asarray(v, dtype=np.float32)) for i, v in zip(features["ti"], features["tv"], strict=True)]
-    meta = [(np.asarray(i, dtype=np.int32), np.ones(len(i), dtype=np.float32)) for i in features["mi"]]
+    """features: columns ti, tv, mi (packed numbers), part, and each target (0, 1 or null)."""
+    text = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for i, v in zip(features["ti"], features["tv"], strict=True)]
+    meta = [(m := np.frombuffer(i, dtype=np.int32), np.ones(len(m), dtype=np.float32)) for i in features["mi"]]
     width = {id(text): WORDS + SHAPES, id(meta): META}
     build = lambda view, chosen: Rows([view[i] for i in chosen], width[id(view)])
     out = {}
@@ -245,12 +245,11 @@ def classify(
         for frame in batches:
             text = [text_features(t) for t in frame["_text"]]
             meta = [meta_features(dict(zip(names, v, strict=True)))[0] for v in zip(*(frame[c] for c in names), strict=True)] if names else [meta_features({})[0]] * len(frame)
-            yield pd.DataFrame({"id": frame[id_col], "ti": [i for i, _ in text], "tv": [v for _, v in text], "mi": meta, "part": frame["part"], **{t: frame[t] for t in targets}})
+            yield pd.DataFrame({"id": frame[id_col], "ti": [i.tobytes() for i, _ in text], "tv": [v.tobytes() for _, v in text], "mi": [m.tobytes() for m in meta], "part": frame["part"], **{t: frame[t] for t in targets}})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    sample = pool.mapInPandas(featurize, f"id {id_type}, ti array<int>, tv array<float>, mi array<int>, part boolean, " + ", ".join(f"{t} int" for t in targets))
+    sample = pool.mapInPandas(featurize, f"id {id_type}, ti binary, tv binary, mi binary, part boolean, " + ", ".join(f"{t} int" for t in targets))
     table = pd.DataFrame([r.asDict() for r in sample.collect()], columns=sample.columns).drop_duplicates("id").sort_values("id", kind="stable").reset_index(drop=True)
-    table = table[[len(i) > 0 for i in table["ti"]]] if len(table) else table
     models = fit_targets(table, targets) if len(table) else dict.fromkeys(targets)
     for m in models.values():
         if m is not None:
