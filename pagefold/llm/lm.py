@@ -40,7 +40,7 @@ NOISE = 64
 RATE = 0.15
 #: Tokens that are scored at a time.
 SCORED = 8192
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 8 << 20
 MERGED = 32
 #: A class beside the suffixes for the end of a text, which is a token; words hold no space.
 END = " "

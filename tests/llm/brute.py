@@ -71,3 +71,45 @@ def contamination(text, items, window=10):
 def pieces(text, tokenizer, capacity=2048):
     ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
     return [(k, s, len(p := ids[s : s + capacity]), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def normal(line):
+    import regex
+
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", line).lower().strip(" ")
+
+
+def dropped_lines(docs, least=20):
+    """{id: set of line numbers} of lines that equal, or from so many characters are within an edit of, an earlier one."""
+    first, order, out = {}, [], {i: set() for i, _ in docs}
+    for i, text in sorted(docs, key=lambda d: d[0]):
+        for k, line in enumerate(text.split("\n") if text is not None else []):
+            n = normal(line)
+            if not n:
+                continue
+            if n in first:
+                out[i].add(k)
+                first[n].append((i, k))
+            else:
+                first[n] = [(i, k)]
+                order.append(n)
+    for x, n in enumerate(order):
+        if len(n) < least:
+            continue
+        for e in order[:x]:
+            if len(e) >= least and abs(len(e) - len(n)) <= 1:
+                at = next((z for z in range(min(len(e), len(n))) if e[z] != n[z]), min(len(e), len(n)))
+                if e[at + 1 :] == n[at + 1 :] or e[at:] == n[at + 1 :] or e[at + 1 :] == n[at:]:
+                    for i, k in first[n]:
+                        out[i].add(k)
+                    break
+    return out
