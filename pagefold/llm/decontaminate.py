@@ -5,8 +5,8 @@ first; a document that contains a window must hold the window's rarest shingle,
 (exact containment leaves a prefix of length one). Documents are probed for prefix shingles only; a hit fixes where the
 window would begin, the length and position bounds are applied, and the words are compared exactly.
 
-The item side is a query set: it is taken in blocks whose size is checked, each block one pass over the documents, and only
-a block is ever sent to executors. A document's hits never leave its row, so no key can be hot.
+The item side is a query set: it is taken in blocks whose size is checked, each block a count over the documents, and a
+block's windows are what is sent to executors at a time. A document's hits never leave its row, so no key can be hot.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
-
 WINDOW = 10
 SHINGLE = 5
 #: Item characters of one block: what is sent to executors at a time.
@@ -118,65 +116,67 @@ def _item_blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[str, str]]
         yield part
 
 
+def _finder(windows: dict[tuple[bytes, ...], set[str]], wanted: dict):
+    """A function of texts to the word count, hit ranges and items of one block's windows."""
+
+    @F.pandas_udf("n_words long, hits array<struct<begin:long,end:long>>, items array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        windows, wanted = sent.value
+        probe = Probe(set(wanted))
+        for texts in batches:
+            rows = []
+            for text in texts:
+                words = words_of(text)
+                spans, found = set(), set()
+                for at, prefix in probe.search(words):
+                    for k, whole in wanted[prefix]:
+                        begin, end = at - k, at - k + len(whole)
+                        if begin >= 0 and end <= len(words) and tuple(words[begin:end]) == whole:
+                            spans.add((begin, end))
+                            found |= windows[whole]
+                rows.append((len(words), _merged(sorted(spans)), sorted(found)))
+            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+
+    sent = SparkSession.active().sparkContext.broadcast((windows, wanted))
+    return find
+
+
 def contaminated_spans(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """(id, n_words, hits, items) of each document: hits are merged word ranges [begin, end) that lie in an occurrence of an
-    item's window, items the sorted ids, as strings, of the items with an occurring window.
+    """Adds n_words, hits and items to every row of docs, in one pass over it after the shingles are counted.
 
-    Null and empty texts have no words; an item without words has no window; equal items count one by one; repeated rows
-    each give a row; other columns are ignored; no items or no documents give no hits.
+    hits are merged word ranges [begin, end) that lie in an occurrence of an item's window, items the sorted ids, as
+    strings, of the items with an occurring window. Null and empty texts have no words; an item without words has no window;
+    equal items count one by one, items without an id not at all; repeated rows each give a row; all other columns pass
+    unchanged and columns of those names are replaced; no items or no documents give no hits.
     """
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     listed = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull())
-    schema = f"id {id_type}, n_words long, hits array<struct<begin:long,end:long>>, items array<string>"
-
-    def one_pass(block: list[tuple[str, str]], frame: DataFrame) -> DataFrame:
+    found = []
+    for block in _item_blocks(listed, block_chars):
         windows = windows_of(block, window)
-        counts = shingle_counts(source.select("text"), {s for w in windows for s in shingles_of(w, shingle)}) if windows else Counter()
-        sent = spark.sparkContext.broadcast((windows, prefixes(windows, counts, shingle)))
-        more, last = "hits" in frame.columns, not keep
-
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            windows, wanted = sent.value
-            probe = Probe(set(wanted))
-            for part in batches:
-                rows = []
-                for r in part.itertuples(index=False):
-                    words = words_of(r.text)
-                    spans, found = set(), set()
-                    for at, prefix in probe.search(words):
-                        for k, whole in wanted[prefix]:
-                            begin, end = at - k, at - k + len(whole)
-                            if begin >= 0 and end <= len(words) and tuple(words[begin:end]) == whole:
-                                spans.add((begin, end))
-                                found |= windows[whole]
-                    if more:
-                        spans |= {(h["begin"], h["end"]) for h in r.hits}
-                        found |= set(r.items)
-                    rows.append((len(words), _merged(sorted(spans)), sorted(found)))
-                out = pd.DataFrame(rows, columns=["n_words", "hits", "items"])
-                out.insert(0, "id", part["id"].to_numpy())
-                if not last:
-                    out["text"] = part["text"].to_numpy()
-                yield out
-
-        return frame.mapInPandas(find, schema + (", text string" if keep else ""))
-
-    out = source
-    todo = _item_blocks(listed, block_chars)
-    block = next(todo, [])
-    while True:
-        following = next(todo, None)
-        keep = following is not None
-        out = one_pass(block, out)
-        if following is None:
-            return out.select(F.col("id").alias(id_col), "n_words", "hits", "items")
-        out = materialize(out, "decontaminated")
-        block = following
+        if windows:
+            counts = shingle_counts(docs.select(F.col(text_col).alias("text")), {s for w in windows for s in shingles_of(w, shingle)})
+            found.append(_finder(windows, prefixes(windows, counts, shingle)))
+    found = found or [_finder({}, {})]
+    out = docs.select(*names, *(f(F.col(text_col)).alias(f"_found{k}") for k, f in enumerate(found)))
+    blocks = [F.col(f"_found{k}") for k in range(len(found))]
+    if len(blocks) == 1:
+        return out.select(*names, "_found0.n_words", "_found0.hits", "_found0.items")
+    ordered = F.sort_array(F.concat(*(x["hits"] for x in blocks)))
+    return out.select(*names, "_found0.n_words", merged_ranges(ordered).alias("hits"), F.array_sort(F.array_distinct(F.concat(*(x["items"] for x in blocks)))).alias("items"))
+
+
+def merged_ranges(ordered):
+    """Ranges (begin, end) in order, those that touch joined."""
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, x: F.struct(last(a)["begin"].alias("begin"), F.greatest(last(a)["end"], x["end"]).alias("end"))
+    return F.aggregate(
+        ordered, F.array().cast("array<struct<begin:bigint,end:bigint>>"),
+        lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= x["begin"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(grown(a, x)))).otherwise(F.concat(a, F.array(x))),
+    )
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -197,3 +197,9 @@ def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
+
+
+def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that hold a benchmark window go."""
+    found = contaminated_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return found.where(F.size("hits") == 0).select(*docs.columns)

@@ -1,6 +1,6 @@
 """Quality classifier by co-training.
 
-Two views of a document see different things: its text (hashed words and word beginnings, word shapes, repetition) and its page
+Two views of a document see different things: its text (hashed word beginnings, word shapes, repetition) and its page
 metadata (language, source, size). For each target a logistic model of each view starts from the labelled rows; in each
 round both views name the unlabelled documents they are surest of, and the other view learns from those pseudo-labels.
 Each view is then calibrated on labelled rows that it never learnt from, and the calibrated log-odds are combined by a last
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the models are fitted and calibrated on, and rows that co-training may give pseudo-labels.
-LABELLED = 12_000
-UNLABELLED = 4_000
+LABELLED = 8_000
+UNLABELLED = 3_000
+#: A word is seen by its first bytes, so long words and inflected forms of one share features.
+BEGINNINGS = (8, 7, 6, 5, 4, 3)
 #: Hashed features of the text view: words, then shapes and repetition; and of the metadata view.
 WORDS = 1 << 18
 SHAPES = 1 << 8
@@ -43,16 +45,15 @@ EDGE = b".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~^@`"
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values: presence of words and of their first three to seven bytes, square roots of the shares of shapes, of repeats and of rare-word signs."""
+    """Feature numbers and values: presence of word beginnings, square roots of the shares of shapes, of repeats and of rare-word signs."""
     words = text.encode("utf-8", "surrogatepass").split() if text else []
     if not words:
         return np.array([WORDS], dtype=np.int32), np.ones(1, dtype=np.float32)
-    distinct = {w.strip(EDGE).lower() for w in set(words)}
-    begun = {w[:7] for w in distinct}
-    for n in (6, 5, 4, 3):
-        distinct |= begun
+    begun, all_begun = {w.strip(EDGE).lower() for w in set(words)}, set()
+    for n in BEGINNINGS:
         begun = {w[:n] for w in begun}
-    found = {zlib.crc32(w) % WORDS for w in distinct | begun}
+        all_begun |= begun
+    found = {zlib.crc32(w) % WORDS for w in all_begun}
     shapes: Counter = Counter()
     for shape, n in Counter(text.encode("utf-8", "surrogatepass").translate(SHAPE).split()).items():
         shapes[1 + zlib.crc32(RUN.sub(rb"\1", shape)) % (SHAPES - 4)] += n / len(words)
@@ -81,14 +82,14 @@ class Rows:
         self.sizes = np.array([len(i) for i, _ in rows], dtype=np.int64)
         self.index = np.concatenate([i for i, _ in rows]) if rows else np.empty(0, dtype=np.int32)
         self.value = np.concatenate([v for _, v in rows]) if rows else np.empty(0, dtype=np.float32)
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
         self.width, self.n = width, len(rows)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.index], self.n)
+        return np.bincount(self.row, self.value * weights[self.index].astype(np.float32), self.n)
 
     def transposed(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.value * x[self.row], self.width)
+        return np.bincount(self.index, self.value * x[self.row].astype(np.float32), self.width)
 
 
     def present(self) -> np.ndarray:
@@ -97,7 +98,7 @@ class Rows:
 
     def scaled(self, by: np.ndarray) -> Rows:
         """Values times a factor of their feature, without those that become zero."""
-        value = self.value * by[self.index]
+        value = self.value * by[self.index].astype(np.float32)
         some = np.flatnonzero(value)
         out = Rows.__new__(Rows)
         out.index, out.value, out.row, out.width, out.n = self.index[some], value[some], self.row[some], self.width, self.n
@@ -208,6 +209,7 @@ def fit_targets(features: pd.DataFrame, targets: tuple[str, ...]) -> dict[str, T
     meta = [(m := np.frombuffer(i, dtype=np.int32), np.ones(len(m), dtype=np.float32)) for i in features["mi"]]
     width = {id(text): WORDS + SHAPES, id(meta): META}
     build = lambda view, chosen: Rows([view[i] for i in chosen], width[id(view)])
+    del features["ti"], features["tv"], features["mi"]
     out = {}
     for name in targets:
         y = features[name].fillna(-1).to_numpy(dtype=np.int64)
@@ -249,7 +251,7 @@ def classify(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     sample = pool.mapInPandas(featurize, f"id {id_type}, ti binary, tv binary, mi binary, part boolean, " + ", ".join(f"{t} int" for t in targets))
-    table = pd.DataFrame([r.asDict() for r in sample.collect()], columns=sample.columns).drop_duplicates("id").sort_values("id", kind="stable").reset_index(drop=True)
+    table = pd.DataFrame(sample.collect(), columns=sample.columns).drop_duplicates("id").sort_values("id", kind="stable").reset_index(drop=True)
     models = fit_targets(table, targets) if len(table) else dict.fromkeys(targets)
     for m in models.values():
         if m is not None:

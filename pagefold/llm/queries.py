@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import op9_benchmark_decontamination
 from .html import op2_html_extraction
+from .lines import op3_line_dedup
 from .lm import op10_lm_scoring
 from .packing import op5_best_fit_packing
+from .passages import op7_substring_dedup
 from .quality import op4_quality_classifier
 from .secrets import op1_secret_scan
 from .simhash import op8_simhash_near_dedup
@@ -13,8 +15,10 @@ from .simhash import op8_simhash_near_dedup
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_extraction": op2_html_extraction,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,

@@ -147,3 +147,10 @@ def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs, shingle=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group stays, the one with the smallest id; rows without an id stay."""
+    groups = near_duplicates(docs.select("doc_id", "text"))
+    gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
