@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audio import op6_audio_fingerprints
 from .decontaminate import op9_benchmark_decontamination
 from .html import op2_html_extraction
 from .lines import op3_line_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_audio_fingerprints": op6_audio_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
