@@ -1,6 +1,6 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines are compared without case and punctuation. Equal lines collapse first, by hash, to the place of their earliest
+Lines are compared without case and spaces around them. Equal lines collapse first, by hash, to the place of their earliest
 occurrence. Two different lines within one edit are found from threshold-plus-one segments: of the two halves that the shorter
 line splits into, the edit spares one, so the other line has it at its beginning or end. Each line therefore stands in the index
 under its own length's halves, and probes the halves of its own length and of one less. Only lines that meet another one
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Lines with fewer characters, without case and punctuation, are compared for equality only.
+#: Lines with fewer characters are compared for equality only.
 LEAST = 20
 #: Lines of a group that are paired directly; larger groups are split by finer parts, so many at a time.
 DIRECT = 32
@@ -30,60 +30,67 @@ SCALE = 2**32
 
 
 def normal(line: Column) -> Column:
-    """Lower-case letters and digits, with one space for each run of anything else."""
-    return F.trim(F.lower(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " ")))
+    """Lower case, without spaces around."""
+    return F.trim(F.lower(line))
+
+
+def characters(text: Column) -> Column:
+    """The code points of a string, as an array."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
 def banded_distance(a: Column, b: Column, threshold: int = 1) -> Column:
-    """Edit distance of two strings if it is within the threshold, else threshold + 1.
+    """Edit distance of two arrays of characters if it is within the threshold, else threshold + 1.
 
     The band of 2 * threshold + 1 diagonals is one machine word that moves down a row for each character of b; vertical and
-    horizontal differences are bits of it.
+    horizontal differences are bits of it. a and b should be columns, since each step looks at them.
     """
     width = 2 * threshold + 1
-    mask = (1 << width) - 1
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    chars = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
-    m, n = F.char_length(a), F.char_length(b)
+    whole = lambda x: F.lit(x).cast("long")
+    invert = lambda x: F.bitwise_not(x).bitwiseAND(whole((1 << width) - 1))
+    m, n = F.size(a), F.size(b)
+    last = F.least(m, F.lit(threshold))
     start = F.struct(
-        chars(a).alias("a"), chars(b).alias("b"), F.lit(((1 << (threshold + 1)) - 1) << threshold).cast("long").alias("vp"), zero.alias("vn"),
-        F.least(m, F.lit(threshold)).cast("long").alias("d"), F.element_at(F.array(*(F.lit(1 << (width - 2) >> (threshold - k)).cast("long") for k in range(threshold + 1))), F.least(m, F.lit(threshold)) + 1).alias("h"),
+        whole(((1 << (threshold + 1)) - 1) << threshold).alias("vp"), whole(0).alias("vn"), last.cast("long").alias("d"),
+        F.element_at(F.array(*(whole(1 << (width - 2) >> (threshold - k)) for k in range(threshold + 1))), last + 1).alias("h"),
     )
-    invert = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(mask).cast("long"))
 
     def step(s: Column, i: Column) -> Column:
-        own = F.get(s["b"], i)
-        match = zero
+        own, match = F.get(b, i), whole(0)
         for k in range(width):
-            row = F.when(i + (k - threshold) >= 0, F.get(s["a"], F.greatest(i + (k - threshold), F.lit(0))))
-            match = match.bitwiseOR(F.when(row == own, F.lit(1 << k).cast("long")).otherwise(zero))
-        with_match = F.struct(match.alias("x"))
-        d0 = F.transform(
-            F.array(with_match),
-            lambda t: ((t["x"].bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(t["x"]).bitwiseOR(s["vn"]).bitwiseAND(F.lit(mask).cast("long")),
-        )
-        return F.transform(d0, lambda d: _advance(s, i, d, m, threshold, width, invert, one, zero))[0]
-
-    end = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step, lambda s: s["d"])
-    far = F.lit(threshold + 1).cast("long")
+            row = F.get(a, i + (k - threshold))
+            match = match.bitwiseOR(F.when(row == own, whole(1 << k)).otherwise(whole(0)))
+        return F.transform(F.array(match), lambda x: _zero_diagonals(s, x, width))[0].alias("d0")
+
+    def move(s: Column, i: Column) -> Column:
+        return F.transform(F.array(step(s, i)), lambda d0: _advance(s, i, d0, m, threshold, width, invert, whole))[0]
+
+    end = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, move, lambda s: s["d"])
+    far = whole(threshold + 1)
     return F.when(F.abs(m - n) > threshold, far).when(n == 0, m.cast("long")).otherwise(F.least(end, far))
 
 
-def _advance(s: Column, i: Column, d0: Column, m: Column, threshold: int, width: int, invert, one: Column, zero: Column) -> Column:
+def _zero_diagonals(s: Column, match: Column, width: int) -> Column:
+    """Bits of the rows whose diagonal neighbour has the same value."""
+    carried = (match.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])
+    return carried.bitwiseOR(match).bitwiseOR(s["vn"]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _advance(s: Column, i: Column, d0: Column, m: Column, threshold: int, width: int, invert, whole) -> Column:
     hp = s["vn"].bitwiseOR(invert(d0.bitwiseOR(s["vp"])))
     hn = d0.bitwiseAND(s["vp"])
     shifted = F.shiftrightunsigned(d0, 1)
     above = i < m - threshold  # the band's lowest row is not yet the last one
-    diagonal = F.when(d0.bitwiseAND(F.lit(1 << (width - 1)).cast("long")) == 0, one).otherwise(zero)
-    across = F.when(hp.bitwiseAND(s["h"]) != 0, one).otherwise(zero) - F.when(hn.bitwiseAND(s["h"]) != 0, one).otherwise(zero)
+    diagonal = F.when(d0.bitwiseAND(whole(1 << (width - 1))) == 0, whole(1)).otherwise(whole(0))
+    across = F.when(hp.bitwiseAND(s["h"]) != 0, whole(1)).otherwise(whole(0)) - F.when(hn.bitwiseAND(s["h"]) != 0, whole(1)).otherwise(whole(0))
     return F.struct(
-        s["a"].alias("a"), s["b"].alias("b"), hn.bitwiseOR(invert(shifted.bitwiseOR(hp))).alias("vp"), shifted.bitwiseAND(hp).alias("vn"),
+        hn.bitwiseOR(invert(shifted.bitwiseOR(hp))).alias("vp"), shifted.bitwiseAND(hp).alias("vn"),
         (s["d"] + F.when(above, diagonal).otherwise(across)).alias("d"), F.when(above, s["h"]).otherwise(F.shiftrightunsigned(s["h"], 1)).alias("h"),
     )
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(loc, norm) of every line with a letter or digit; loc orders lines by document and place (null ids last)."""
+    """(id, no, norm) of every line that isn't blank; null ids come last."""
     split = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     return split.select("id", "no", normal(F.col("line")).alias("norm")).where("norm != ''")
 
@@ -152,7 +159,7 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.split(text_col, "\n").alias("split"))
     fetched = source.join(F.broadcast(by_doc) if few else by_doc, "id").select("split", F.explode("places").alias("p"))
     fetched = fetched.select("p.h", "p.m", "p.loc", normal(F.get("split", F.col("p.no"))).alias("norm")).where((F.xxhash64("norm") == F.col("h")) & (F.hash("norm") == F.col("m")))
-    texts = materialize(fetched.dropDuplicates(["loc"]), "texts")
+    texts = materialize(fetched.dropDuplicates(["loc"]).withColumn("chars", characters(F.col("norm"))), "texts")
 
     found = _pairs(meets.where(F.col("size") <= DIRECT))
     hot = meets.where(F.col("size") > DIRECT)
@@ -167,8 +174,8 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         direct = finer if depth == DEPTH - 1 else finer.where(F.col("size") <= DIRECT)
         found = found.unionByName(_pairs(direct))
         hot = finer.where(F.col("size") > DIRECT).drop("size")
-    a, b = texts.select(F.col("h").alias("a"), F.col("norm").alias("text_a"), F.col("loc").alias("loc_a")), texts.select(F.col("h").alias("b"), F.col("norm").alias("text_b"), F.col("loc").alias("loc_b"))
-    checked = found.distinct().join(a, "a").join(b, "b").where(banded_distance(F.col("text_a"), F.col("text_b")) <= 1)
+    a, b = (texts.select(F.col("h").alias(k), F.col("chars").alias(f"chars_{k}"), F.col("loc").alias(f"loc_{k}")) for k in "ab")
+    checked = found.distinct().join(a, "a").join(b, "b").where(banded_distance(F.col("chars_a"), F.col("chars_b")) <= 1)
     later = checked.select(F.greatest("loc_a", "loc_b").alias("loc")).distinct().withColumn("near", F.lit(True))
     return distinct.select("loc", "h", "m", "len", "n").join(later, "loc", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
@@ -176,8 +183,8 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its text without repeated lines, and ``n_lines``, ``n_dropped`` and ``dropped`` (their numbers).
 
-    A line goes if an earlier one (by id, then place) equals it but for case and punctuation, or, from 20 characters, is
-    within one edit of an earlier one so compared. Lines without letters or digits stay. Null and empty texts stay as
+    A line goes if an earlier one (by id, then place) equals it but for case and spaces around, or, from 20 characters, is
+    within one edit of it so compared. Blank lines stay. Null and empty texts stay as
     they are; rows of one id count as one document, so repeated rows keep the same lines; null ids come last; all other
     columns pass unchanged; an empty table gives an empty frame. Ids are whole numbers.
     """
@@ -189,17 +196,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = gone.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("_gone"))
     source = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"))
     text = F.col(f"_{names.index(text_col)}")
-    joined = source.join(gone, "id", "left")
-    split = F.split(text, "\n")
+    joined = source.join(gone, "id", "left").withColumn("_split", F.split(text, "\n"))
     # rows of one id may have texts of different length: only their own lines count
-    own = F.filter(F.coalesce("_gone", F.array().cast("array<int>")), lambda k: k < F.size(split))
-    stay = F.filter(split, lambda _, k: ~F.array_contains(own, k))
-    kept = F.when(text.isNull() | F.col("_gone").isNull(), text).otherwise(F.array_join(stay, "\n"))
-    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(split))
+    every = F.when(text.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("_split") - 1))
+    joined = joined.withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.array_except(every, F.col("_gone"))))
+    kept = F.when(text.isNull() | F.col("_stay").isNull(), text).otherwise(F.array_join(F.transform("_stay", lambda k: F.get("_split", k)), "\n"))
+    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size("_split"))
+    dropped = F.when(F.col("_stay").isNull(), F.array().cast("array<int>")).otherwise(F.array_except(every, F.col("_stay")))
     return joined.select(
-        *((kept if c == text_col else F.col(f"_{i}")).alias(c) for i, c in enumerate(names)), lines.cast("long").alias("n_lines"),
-        F.when(text.isNull(), F.lit(0)).otherwise(F.size(own)).cast("long").alias("n_dropped"), F.when(text.isNotNull(), own).otherwise(F.array().cast("array<int>")).alias("dropped"),
-    )
+        *((kept if c == text_col else F.col(f"_{i}")).alias(c) for i, c in enumerate(names)), lines.cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped")
+    )
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -83,9 +83,7 @@ def edit_distance(a, b):
 
 
 def normal(line):
-    import regex
-
-    return regex.sub(r"[^\p{L}\p{N}]+", " ", line).lower().strip(" ")
+    return line.lower().strip(" ")
 
 
 def dropped_lines(docs, least=20):
