@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the models are fitted and calibrated on, and rows that co-training may give pseudo-labels.
-LABELLED = 8_000
-UNLABELLED = 3_000
+LABELLED = 5_000
+UNLABELLED = 2_000
 #: A word is seen by its first bytes, so long words and inflected forms of one share features.
-BEGINNINGS = (8, 7, 6, 5, 4, 3)
+BEGINNINGS = (8, 6, 5, 4)
 #: Hashed features of the text view: words, then shapes and repetition; and of the metadata view.
 WORDS = 1 << 18
 SHAPES = 1 << 8
