@@ -103,12 +103,12 @@ def largest_containers(spark, d):
     return census.members_of(table(spark, d, "orders", F.col("o_custkey").alias("container")), "container", 20)
 
 
-DECISIONS = "d AS (SELECT user_id AS file_id, event_id AS seq, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS severity FROM events WHERE event_type IN ('error', 'purchase', 'signup'))"
+DECISIONS = "d AS (SELECT user_id AS file_id, event_id AS seq, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS severity FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND event_id % 7 = 0)"
 
 
 def decisions(spark, d) -> DataFrame:
     severity = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
-    return table(spark, d, "events").where(F.col("event_type").isin("error", "purchase", "signup")).select(F.col("user_id").alias("file_id"), F.col("event_id").alias("seq"), severity.alias("severity"))
+    return table(spark, d, "events").where(F.col("event_type").isin("error", "purchase", "signup") & (F.col("event_id") % 7 == 0)).select(F.col("user_id").alias("file_id"), F.col("event_id").alias("seq"), severity.alias("severity"))
 
 
 @query(f"WITH {DECISIONS} SELECT file_id, count(*) FILTER (severity = 0) AS ambiguity, count(*) FILTER (severity = 1) AS repaired, count(*) FILTER (severity = 2) AS violation FROM d GROUP BY file_id")
@@ -344,9 +344,9 @@ def regex_search(spark, d):
     return layout.regex_matches(table(spark, d, "documents", "doc_id", "text"), ["doc_id"], "text", "[A-Z][a-z]+tion")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'nation')")
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'reation')")
 def simple_search(spark, d):
-    return layout.simple_search(table(spark, d, "documents", "doc_id", "lang", "text"), "text", "Nation").select("doc_id", "lang")
+    return layout.simple_search(table(spark, d, "documents", "doc_id", "lang", "text"), "text", "Reation").select("doc_id", "lang")
 
 
 @query("SELECT item_id, CASE WHEN length(text) % 2 = 0 THEN '[REDACTED]' ELSE text END AS text FROM benchmark")
