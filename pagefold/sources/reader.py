@@ -31,6 +31,7 @@ class File:
     revisions: list[tuple[int, int, bool, str]] = field(default_factory=list)  # offset, entries, has trailer, form
     superseded: set[int] = field(default_factory=set)
     decisions: list[tuple[int, str, str, str]] = field(default_factory=list)
+    pages: list | None = None  # the page walk, made once
 
     def decide(self, severity: int, clause: str, found: str, action: str) -> None:
         self.decisions.append((severity, clause, found, action))
