@@ -1,17 +1,13 @@
 import os
-import random
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, node string, hits int, items string, spans string, fp int, _gone int"
-
+from brute import words  # noqa: E402
 
-def words(n, seed=0):
-    rng = random.Random(seed)
-    return " ".join(rng.choice("the of and to in is that for it with red green blue stone river house bird apple cloud sleep walk".split()) + str(rng.randrange(40)) for _ in range(n))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, node string, hits int, items string, spans string, fp int, _gone int"
 
 
 @pytest.fixture(scope="session")

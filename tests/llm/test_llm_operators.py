@@ -12,6 +12,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from brute import words
 from pyspark.sql import functions as F
 
 from pagefold.llm import audio, components, decontaminate, html, lines, lm, packing, passages, quality, secrets, simhash
@@ -258,8 +259,6 @@ def test_compact_windows_cover_every_range():
 
 
 def test_passages(spark, odd, odd_rows, none):
-    from conftest import words
-
     shared, other = words(70, 50).split(), words(55, 51).split()
     edited = [*shared[:35], "edited", *shared[36:]]
     make = lambda i, x: (i, " ".join(words(90, 100 + i).split() + x + words(60, 200 + i).split()))
@@ -319,8 +318,6 @@ def test_components(spark):
 
 @pytest.mark.parametrize("block", [1 << 20, 150])
 def test_decontamination(spark, odd, odd_rows, none, block):
-    from conftest import words
-
     a, b = words(40, 70), words(30, 71)
     items = [(1, a), (2, b), (3, "Short item!"), (4, None), (5, "..."), (6, a), (None, b)]
     docs = [(50, "x " + " ".join(a.upper().split()[5:22]) + " y"), (51, " ".join(b.split()[:9])), (52, "a SHORT-item here, short item"), (53, a + " " + b), (54, None)]

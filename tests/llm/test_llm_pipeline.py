@@ -1,7 +1,7 @@
 """Each stage against a plain version on its own input, and the whole."""
 
 import brute
-import test_operators as ops
+import test_llm_operators as ops
 from pyspark.sql import functions as F
 
 import corpus_pipeline
