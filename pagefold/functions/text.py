@@ -11,8 +11,8 @@ PDF_DOC_CHARS = (
     "˘ˇˆ˙˝˛˚˜"
     "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž�€"
 )
-#: What tells that a filter's data can be decoded here (fixed values of the standard, and one that isn't in it).
-DECODED_FILTERS = ("ASCIIHexDecode", "ASCII85Decode", "LZWDecode", "FlateDecode", "RunLengthDecode", "CCITTFaxDecode", "JBIG2Decode", "DCTDecode", "JPXDecode", "ZstandardDecode")
+#: Filters that are decoded here; image codecs are not.
+DECODED_FILTERS = ("ASCIIHexDecode", "ASCII85Decode", "LZWDecode", "FlateDecode", "RunLengthDecode", "ZstandardDecode")
 
 
 def pdf_doc_text(data: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import census, layout, lookup
+from ..operators import census, layout, lookup, reports
 from ..sources.frames import frame, parsed
 from ..sources.writer import from_text
 
@@ -114,3 +114,63 @@ def pdf_recovery(spark, d):
     pages = layout.page_text(frame(rows, "spans")).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
     first = frame(rows, "decisions").groupBy("file_id").agg(F.min_by("clause", "seq").alias("clause"))
     return pages.join(first, "file_id", "left").select("file_id", F.coalesce("clause", F.lit("")).alias("clause"), F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT {FILTER_SQL} AS name, doc_id % 2 AS packed FROM documents),
+c AS (SELECT 'catalogue entries' AS axis, unnest(['Type', 'Pages', 'Names', 'Outlines']) AS construct UNION ALL
+SELECT 'annotation entries', '/Link  ' || unnest(['Type', 'Subtype', 'Rect', 'Dest']) UNION ALL SELECT DISTINCT 'stream filters', name FROM f WHERE name IS NOT NULL UNION SELECT 'stream filters', 'FlateDecode'),
+u AS (SELECT DISTINCT axis, construct, construct <> 'Type' AS read FROM c)
+SELECT axis, count(*) AS presented, count(*) FILTER (read) AS read, CAST(floor(count(*) FILTER (read) * 100 / count(*)) AS INT) AS percent FROM u GROUP BY ROLLUP (axis)""")
+def pdf_coverage(spark, d):
+    from ..operators.coverage import coverage_axes
+
+    return coverage_axes(reports.coverage_constructs(*frames(spark, d, "catalog", "annotations", "filters"))).drop("fraction")
+
+
+@query(f"SELECT doc_id AS file_id, '1.7' AS version, {PAGES_SQL} AS pages, 1::BIGINT AS fonts, 0::BIGINT AS decisions, source AS title, NULL AS author FROM documents")
+def pdf_summary(spark, d):
+    return reports.summary(*frames(spark, d, "files", "pages", "metadata", "fonts", "decisions"))
+
+
+@query(f"SELECT doc_id AS file_id, {PAGES_SQL} AS declared, {PAGES_SQL} AS held FROM documents")
+def pdf_declared_pages(spark, d):
+    return reports.declared_pages(*frames(spark, d, "objects", "pages"))
+
+
+@query(f"SELECT doc_id AS file_id, {PAGES_SQL} AS wrong FROM documents WHERE doc_id % 10 = 0")
+def pdf_stream_lengths(spark, d):
+    """Every tenth file says a wrong length for all its streams; the data is found all the same."""
+    spoilt = F.encode(F.regexp_replace(F.decode("content", "ISO-8859-1"), "/Length ", "/Length 1"), "ISO-8859-1")
+    rows = parsed(written(spark, d).where("path % 10 = 0").select("path", spoilt.alias("content")), ["objects"])
+    return reports.stream_lengths(frame(rows, "objects")).groupBy("file_id").agg(F.count(F.lit(1)).alias("wrong"))
+
+
+@query("SELECT doc_id AS file_id, doc_id % 4 AS items, doc_id % 4 AS shown FROM documents WHERE doc_id % 4 > 0")
+def pdf_outline_report(spark, d):
+    return reports.outline_report(*frames(spark, d, "outline"))
+
+
+@query("SELECT doc_id AS file_id, false AS has_structure, false AS has_mark_info, false AS has_language FROM documents")
+def pdf_compliance(spark, d):
+    return reports.compliance(*frames(spark, d, "catalog"))
+
+
+@query(f"SELECT doc_id AS file_id, '1.7' AS version, 1 AS n_sections, CASE WHEN doc_id % 2 = 1 THEN CAST(ceil((4 + {PAGES_SQL} + (doc_id % 4) + CASE WHEN doc_id % 4 > 0 THEN 1 ELSE 0 END) / 4) AS BIGINT) ELSE 0 END AS containers, 0::BIGINT AS superseded, 0::BIGINT AS violation FROM documents")
+def pdf_file_structure(spark, d):
+    files, xref, decisions = frames(spark, d, "files", "xref", "decisions")
+    report = reports.file_structure(files, xref, decisions)
+    containers = xref.where("kind = 'in_stream'").groupBy("file_id").agg(F.count_distinct("a").alias("containers"))
+    return report.join(containers, "file_id", "left").select("file_id", "version", "n_sections", F.coalesce("containers", F.lit(0)).alias("containers"), "superseded", "violation")
+
+
+@query(f"SELECT doc_id AS file_id, {PAGES_SQL} AS contents FROM documents")
+def pdf_reachable_streams(spark, d):
+    """Content streams that references lead to from the catalogue."""
+    from ..operators.trees import reachable
+
+    (objects,) = frames(spark, d, "objects")
+    objects = objects.select("file_id", "obj_num", "kind", "type", "value").persist()
+    roots = objects.where("type = 'Catalog'").select("file_id", F.col("obj_num").cast("long").alias("id"))
+    found = reachable(reports.references(objects.where("type is null or type <> 'ObjStm'")), roots)
+    streams = objects.where("kind = 'stream' and type is null").select("file_id", F.col("obj_num").cast("long").alias("id"))
+    return found.join(streams, ["file_id", "id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("contents"))
