@@ -18,6 +18,11 @@ def _view(frame: DataFrame, name: str) -> str:
     return name
 
 
+def _without_row_limit(frame: DataFrame) -> None:
+    """A walk over a corpus gives as many rows as it has nodes, so Spark's limit on rows of recursive queries has to go; depth ends it."""
+    frame.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+
+
 def walk(nodes: DataFrame, depth: int, carried: dict[str, tuple[str, str]] | None = None, view: str = "pagefold_nodes") -> DataFrame:
     """(file_id, id, parent, depth, path, ...) of each node that a root reaches within a depth, in at most that many rounds.
 
@@ -25,6 +30,7 @@ def walk(nodes: DataFrame, depth: int, carried: dict[str, tuple[str, str]] | Non
     order. carried: for each column, the SQL that gives it at a root and at a child (n is the node, w its parent's row).
     """
     carried = carried or {}
+    _without_row_limit(nodes)
     name = _view(nodes, view)
     first = "".join(f", {root} AS {c}" for c, (root, _) in carried.items())
     then = "".join(f", {child} AS {c}" for c, (_, child) in carried.items())
@@ -84,6 +90,7 @@ def ancestors(nodes: DataFrame, depth: int = PAGES) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = RESOLVE, view: str = "pagefold_edges") -> DataFrame:
     """Objects that references lead to from the roots, found by written-out rounds of a semi-naive closure in one query."""
+    _without_row_limit(edges)
     e, r = _view(edges, view), _view(roots, f"{view}_roots")
     return edges.sparkSession.sql(f"""
         WITH RECURSIVE w (file_id, id, depth, seen) MAX RECURSION LEVEL {depth + 2} AS (

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geometry, numbers, text
-from ..operators import census, coverage, layout, lookup, metadata, pages, trees
+from ..operators import census, coverage, layout, lookup, metadata, normalize, pages, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -685,3 +685,58 @@ def signature_ranges(spark, d):
     third = (n / 3).cast("int")
     signed = F.concat(F.substring(F.col("text"), F.lit(1), third), F.substring(F.col("text"), third + 11, n))
     return table(spark, d, "documents").select("doc_id", F.sha2(F.encode(signed, "UTF-8"), 256).alias("digest"), ((n > 10) & (third + 10 < n)).alias("gap"))
+
+
+# normalising
+
+
+@query("""WITH s AS (SELECT p_partkey AS obj_num, (['DeviceRGB', 'Strange', 'CalRGB', 'ICCBased', 'Indexed', 'Separation'])[p_partkey % 6 + 1] AS family, CASE WHEN p_partkey % 6 < 2 THEN NULL ELSE p_size % 5 END AS length FROM part),
+c AS (SELECT *, CASE WHEN length IS NULL AND family = 'Strange' THEN '8.6' WHEN length = 0 THEN '8.6' WHEN family = 'CalRGB' AND length < 2 THEN '8.6.5' WHEN family = 'ICCBased' AND length < 2 THEN '8.6.5.5' WHEN family = 'Indexed' AND length < 4 THEN '8.6.6.3' WHEN family = 'Separation' AND length < 4 THEN '8.6.6.4' END AS clause FROM s)
+SELECT 0 AS file_id, obj_num, 1 AS severity, clause, CASE WHEN length = 0 THEN 'Substituted /DeviceRGB for empty colour space array' WHEN length IS NULL THEN 'Substituted /DeviceRGB for unrecognized /' || family ELSE 'Substituted /DeviceRGB for malformed /' || family END AS action FROM c WHERE clause IS NOT NULL""")
+def colour_space_rules(spark, d):
+    families = F.array(*map(F.lit, ("DeviceRGB", "Strange", "CalRGB", "ICCBased", "Indexed", "Separation")))
+    kind = (F.col("p_partkey") % 6).cast("int")
+    spaces = table(spark, d, "part").select(F.lit(0).alias("file_id"), F.col("p_partkey").alias("obj_num"), families[kind].alias("family"), F.when(kind >= 2, F.col("p_size") % 5).alias("length"))
+    return normalize.colour_space_decisions(spaces, relaxed=True)
+
+
+@query("""WITH f AS (SELECT c_custkey AS file_id, CASE WHEN c_custkey % 2 = 0 THEN 'user' ELSE 'owner' END AS access, c_custkey % 4096 AS p, c_nationkey % 3 AS signatures FROM customer),
+n AS (SELECT *, list_filter([CASE WHEN p & 8 = 0 THEN 'modification' END, CASE WHEN p & 1024 = 0 THEN 'assembly' END, CASE WHEN p & 32 = 0 THEN 'annotation' END], lambda x: x IS NOT NULL) AS denied FROM f)
+SELECT file_id, 2 AS severity, '7.6.4.2' AS clause, 'the document was opened with user access and its /P (' || p || ') permits no ' || array_to_string(denied, ' and no ') AS found FROM n WHERE access = 'user' AND len(denied) > 0
+UNION ALL SELECT file_id, 2, '12.8', 'the source carried ' || signatures || ' digital signature(s)' FROM n WHERE signatures > 0""")
+def write_losses(spark, d):
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), F.when(F.col("c_custkey") % 2 == 0, "user").otherwise("owner").alias("access"), (F.col("c_custkey") % 4096).alias("p"), (F.col("c_nationkey") % 3).alias("signatures"))
+    return normalize.write_losses(files)
+
+
+@query(f"WITH RECURSIVE {TREE}, w AS (SELECT 1::BIGINT AS id UNION ALL SELECT t.id FROM w JOIN t ON t.parent = w.id) SELECT 0 AS file_id, id, row_number() OVER (ORDER BY id) AS number FROM w")
+def clone_objects(spark, d):
+    nodes = tree(spark, d)
+    return normalize.cloned(nodes.where("parent is not null").select("file_id", F.col("parent").alias("src"), F.col("id").alias("dst")), nodes.where("id = 1").select("file_id", "id"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS code, c_nationkey AS font FROM customer), r AS (SELECT s_nationkey AS font, min(s_suppkey) * 10 AS low, min(s_suppkey) * 10 + 15 AS high FROM supplier GROUP BY s_nationkey)
+SELECT c.font, 2 AS width, c.code, CASE WHEN r.low IS NOT NULL THEN 'x' || chr(CAST(65 + c.code - r.low AS INT)) END AS text FROM c LEFT JOIN r ON c.font = r.font AND c.code BETWEEN r.low AND r.high""")
+def cmap_texts(spark, d):
+    codes = table(spark, d, "customer").select(F.col("c_nationkey").alias("font"), F.lit(2).alias("width"), F.col("c_custkey").alias("code"))
+    ranges = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("font")).agg((F.min("s_suppkey") * 10).alias("low")).select("font", F.lit(2).alias("width"), "low", (F.col("low") + 15).alias("high"), F.lit("xA").alias("text"))
+    return normalize.code_texts(codes, ranges, ["font"])
+
+
+@query("SELECT l_suppkey AS cid, arg_max(l_partkey, (l_quantity, -l_partkey)) AS gid FROM lineitem GROUP BY l_suppkey")
+def glyph_candidates(spark, d):
+    candidates = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cid"), F.col("l_partkey").alias("gid"), F.col("l_quantity").alias("score"))
+    return normalize.best_candidates(candidates, ["cid"])
+
+
+@query("""WITH c AS (SELECT c_custkey, unnest(string_split(c_name, '')) AS ch FROM customer) SELECT c_custkey, CAST(sum(CASE WHEN ch = ' ' THEN 250 WHEN contains('il', ch) THEN 278 WHEN contains('jtfr', ch) THEN 333 WHEN contains('IJ', ch) THEN 361 WHEN contains('!.,:;''|', ch) THEN 250 WHEN contains('mw', ch) THEN 778 WHEN contains('MW', ch) THEN 889
+WHEN contains('@%', ch) THEN 850 WHEN ch BETWEEN '0' AND '9' THEN 500 WHEN ch BETWEEN 'A' AND 'Z' THEN 680 ELSE 500 END) AS INT) AS width FROM c WHERE ch <> '' GROUP BY c_custkey""")
+def text_widths(spark, d):
+    return table(spark, d, "customer").select("c_custkey", normalize.text_width(F.col("c_name"), F.lit("Serif")).alias("width"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE '<dc:title><rdf:Alt><rdf:li xml:lang="x-default">' || n_name || ' &amp; co</rdf:li></rdf:Alt></dc:title>' END || '<dc:creator><rdf:Seq><rdf:li>a&lt;b</rdf:li></rdf:Seq></dc:creator>' AS body FROM nation""")
+def xmp_packets(spark, d):
+    title = F.when(F.col("n_nationkey") % 3 != 0, F.concat("n_name", F.lit(" & co")))
+    packet = normalize.xmp_packet(title, F.lit("a<b"), F.lit(None).cast("string"))
+    return table(spark, d, "nation").select("n_nationkey", F.regexp_extract(packet, '1.3/">(.*)</rdf:Description>', 1).alias("body"))

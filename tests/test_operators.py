@@ -140,3 +140,19 @@ def test_operation_errors(document):
         with pytest.raises(ValueError):
             edits.apply_operation(document, name, arguments)
     assert edits.apply_operation(document, text='{"op": "Rotate", "degrees": 180}')["pages"].where("rotate = 180").count() == 3
+
+
+def test_images(spark):
+    from pagefold.functions import images
+
+    assert images.unpack_samples(bytes([0b10100000, 0b01000000]), 3, 2, 1) == bytes([255, 0, 255, 0, 255, 0])
+    assert images.unpack_samples(bytes([0x1F]), 2, 1, 4) == bytes([17, 255]) and images.unpack_samples(b"", 2, 1, 4) is None
+    assert images.apply_palette(bytes([0, 1, 9]), b"abcdef", 3) == b"abcdefdef" and images.apply_palette(b"x", b"", 3) == b""
+    assert images.mean_luminance(bytes([255] * 6 + [0] * 6), 2, 2) == [255.0, 255.0, 0.0, 0.0]
+    frame = spark.createDataFrame([(b"\x80", 2, 1, 1), (None, 1, 1, 1)], "d binary, w int, h int, b int")
+    assert [None if r[0] is None else bytes(r[0]) for r in frame.select(images.unpacked(F.col("d"), F.col("w"), F.col("h"), F.col("b"))).collect()] == [b"\xff\x00", None]
+
+
+def test_walks_have_no_row_limit(spark):
+    nodes = spark.range(1_100_000).selectExpr("0 AS file_id", "id", "CASE WHEN id > 0 THEN 0L END AS parent", "CAST(id % 1000 AS INT) AS pos")
+    assert trees.walk(nodes, 3).count() == 1_100_000
