@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -10,7 +12,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
 
@@ -26,7 +27,9 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="pagefold-"))
+        folder = tempfile.mkdtemp(prefix="pagefold-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_ROOT.append(f"file://{folder}")
     return _LOCAL_ROOT[0]
 
 
@@ -57,10 +60,6 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_pagefold_worker", types.ModuleType("_pagefold_worker")).__dict__
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """So many rows at a time go to Python while what stands inside runs: for rows that hold large values."""
@@ -71,9 +70,3 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def total_bytes(df: DataFrame, column: str) -> tuple[int, int]:
-    """Rows and UTF-8 bytes of a text column: sizes partitions by the data, not by a constant."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column)).alias("b")).first()
-    return row["n"], row["b"] or 0
