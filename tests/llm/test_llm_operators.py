@@ -275,6 +275,22 @@ def test_passages(spark, odd, odd_rows, none):
     assert passages.passage_classes(none).count() == 0
 
 
+def test_every_diagonal():
+    line, shared = words(9, 60).split(), words(60, 61).split()
+    tokens = lambda x: passages.shingles_of([w.encode() for w in x])
+    many = [w for k in range(70) for w in [*line, f"n{k}"]]
+    rep = [*many, *line, *shared, *words(30, 62).split()]
+    doc = [*words(20, 63).split(), *line, *shared, *words(20, 64).split()]
+    assert passages.matching_spans(tokens(doc), tokens(rep)) == [(20, 89, 700, 769)]
+    # an insertion of seven words, and a short run far from a long one
+    text = words(98, 65).split()
+    assert passages.matching_spans(tokens(text), tokens([*text[:49], *words(7, 66).split(), *text[49:]])) == [(0, 98, 0, 105)]
+    text = words(160, 67).split()
+    assert passages.matching_spans(tokens(text), tokens([*text[:24], *words(9, 68).split(), *text[28:]])) == [(0, 160, 0, 165)]
+    # the same period on both sides ends
+    assert passages.matching_spans(tokens(line * 40), tokens(line * 40))[0] == (0, 360, 0, 360)
+
+
 # 8
 
 
