@@ -291,6 +291,20 @@ def test_every_diagonal():
     assert passages.matching_spans(tokens(line * 40), tokens(line * 40))[0] == (0, 360, 0, 360)
 
 
+@pytest.mark.parametrize("direct", [64, 1])
+def test_partial_copies_hide_no_pair(spark, monkeypatch, direct):
+    """The first document of each three has 45 of 60 words that the other two share."""
+    monkeypatch.setattr(passages, "DIRECT", direct)
+    docs = []
+    for k in range(0, 120, 3):
+        shared = words(60, 500 + k).split()
+        for i, x in enumerate((shared[:45], shared, shared)):
+            docs.append((k + i, " ".join([*words(30, 1000 + k + i).split(), *x, *words(30, 2000 + k + i).split()])))
+    found = {r["doc_id"]: r for r in passages.passage_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k in range(0, 120, 3):
+        assert [found[k + i]["class_id"] for i in range(3)] == [k, k + 1, k + 1] and [found[k + i]["n_links"] for i in range(3)] == [0, 1, 1]
+
+
 # 8
 
 
