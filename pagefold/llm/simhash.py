@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -27,21 +27,29 @@ TILE = 4096
 #: Words of a shingle unless a contract says otherwise.
 SHINGLE = 5
 RADIUS = 2
+#: Similarity of the shingle sets of two documents of which the pipeline keeps one.
+SIMILARITY = 0.8
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """SimHash of a text's word shingles, repeats included; zero if it has no word."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; none if it has no word."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     if len(words) <= shingle:
-        return _vote(np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=np.uint64))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=np.uint64)
     # every shingle is a slice of the words joined by single spaces
     joined = b" ".join(words)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     begins = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    return _vote(np.array([digest(joined[b : e - 1], seed) for b, e in zip(begins, ends[shingle - 1 :], strict=False)], dtype=np.uint64))
+    return np.array([digest(joined[b : e - 1], seed) for b, e in zip(begins, ends[shingle - 1 :], strict=False)], dtype=np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """SimHash of a text's word shingles, repeats included; zero if it has no word."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return _vote(hashes) if len(hashes) else 0
 
 
 def _vote(hashes: np.ndarray) -> int:
@@ -149,8 +157,53 @@ def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(id, own) of (doc_id, text) rows: the ordered hashes of the text's distinct word shingles; none if it has no word."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            own = [np.unique(shingle_hashes(t, shingle).view(np.int64)) if t else np.empty(0, dtype=np.int64) for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "own": own})
+
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(of, f"id {docs.schema['doc_id'].dataType.simpleString()}, own array<long>")
+
+
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of each row: the smallest id that links of so similar shingle sets reach.
+
+    Sets so similar have a hash in common among the first of either (prefix filter), so no pair is missed; each is verified
+    on the whole sets. Documents that a first round connects aren't compared with each other again.
+    """
+    sets = materialize(shingle_sets(docs, shingle).withColumn("set", F.xxhash64("own")), "sets")
+    distinct = sets.groupBy("set").agg(F.min("id").cast("long").alias("node"), F.first("own").alias("own"))
+    distinct = materialize(distinct, "distinct")
+    full = distinct.where("node is not null and size(own) > 0").select("node", "own", F.size("own").alias("n"))
+    least = F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)).cast("int")
+    prefix = full.select("node", "n", F.posexplode(F.slice("own", F.lit(1), F.col("n") - least + 1)).alias("at", "hash"))
+    met = Window.partitionBy("hash")
+    prefix = prefix.withColumn("first", F.min("node").over(met)).withColumn("last", F.max("node").over(met)).where("first < last")
+    prefix = materialize(prefix.select("node", "n", "at", "hash", "first"), "prefix")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (full.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+        both = F.size(F.array_intersect("own_a", "own_b"))
+        return materialize(pairs.join(a, "a").join(b, "b").where(both >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - both) - 1e-9).select("a", "b"), "similar")
+
+    starred = verified(prefix.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    known = connected_components(starred)
+    rows = prefix.join(known, "node", "left").select("hash", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+    other = rows.select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("component_a"))
+    pairs = rows.join(other, "hash").where((F.col("a") < F.col("node")) & (F.col("component_a") != F.col("component")))
+    # what the places of the hash leave for the whole sets
+    most = F.least("at", "at_a") + F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a"))
+    pairs = pairs.where(most * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("n_a")) - 1e-9).select("a", F.col("node").alias("b")).distinct()
+    found = connected_components(starred.unionByName(verified(pairs)))
+    groups = distinct.join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
+    return sets.select("id", "set").join(groups, "set", "left").select(F.col("id").alias("doc_id"), "component_id")
+
+
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one with the smallest id; rows without an id stay."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
+    """Pipeline stage: one document of each group of similar ones stays, the one with the smallest id; rows without an id stay."""
+    groups = similar_documents(docs.select("doc_id", "text"))
     gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

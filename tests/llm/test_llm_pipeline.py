@@ -46,5 +46,20 @@ def test_stages(spark, odd, odd_rows, none, tmp_path):
     assert whole and {r["doc_id"] for r in whole} <= {i for i, _ in rows} | {None}
 
 
+def test_near_copies_go(spark):
+    """One to four changed words of 200 leave a similarity of 0.8 or more, whatever bits their fingerprints differ in."""
+    rows = []
+    for k in range(20):
+        text = brute.words(200, 900 + k).split()
+        for n in (0, 1, 2, 4, 6):
+            rows.append((10 * k + n, " ".join(f"new{n}" if i % 30 == 15 and i // 30 < n else w for i, w in enumerate(text)), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t, *_ in rows]
+    groups = brute.components([r[0] for r in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = {r["doc_id"] for r in simhash.simhash_stage(spark, docs, "").collect()}
+    assert kept == {r[0] for r, g in zip(rows, groups, strict=True) if r[0] == g}
+    assert not kept & {10 * k + n for k in range(20) for n in (1, 2, 4)}
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
