@@ -305,6 +305,14 @@ def test_partial_copies_hide_no_pair(spark, monkeypatch, direct):
         assert [found[k + i]["class_id"] for i in range(3)] == [k, k + 1, k + 1] and [found[k + i]["n_links"] for i in range(3)] == [0, 1, 1]
 
 
+def test_functions_agree_on_one_range(spark):
+    together = [(1 << k, 0 + k, 60 + k) for k in range(4)]
+    apart = [*together[:3], (8, 40, 100)]
+    frame = spark.createDataFrame([(1, together), (2, apart), (3, together[:3] + together[:1])], "id int, own array<struct<bit:int,l:int,r:int>>")
+    found = frame.select("id", passages.overlapping(F.col("own"), "l", "r", 46, 4).alias("x")).collect()
+    assert passages.HASHES == 8 and passages.AGREE == 4 and {r["id"]: r["x"] for r in found} == {1: True, 2: False, 3: False}
+
+
 # 8
 
 
