@@ -245,6 +245,15 @@ def test_recordings(spark):
     assert audio.render(None) is None and audio.render([]) is None and len(audio.fingerprint(audio.decode_wave(audio.render([0.1] * 64)))) > 10
 
 
+def test_all_matching_recordings_are_linked(spark):
+    """Three copies with noise match pairwise, though the first holds what the others share."""
+    a = melody(1)
+    rows = [(i, wav(a + np.random.default_rng(i).normal(0, 150, len(a)))) for i in (1, 2, 3)]
+    frame = spark.createDataFrame(rows, "id long, audio binary")
+    found = {r["id"]: (r["class_id"], r["n_links"]) for r in audio.recording_classes(frame, "id", "audio").collect()}
+    assert found == {1: (1, 2), 2: (1, 2), 3: (1, 2)}
+
+
 # 7
 
 
