@@ -12,6 +12,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a key beyond which the key is heavy, and the most keys that can be heavy, whatever the input: with n rows in all, a
+#: heavy key has n / HEAVY_KEYS or more, so there are no more than that many.
+HEAVY_ROWS = 1_000
+HEAVY_KEYS = 1_000
 
 _LOCAL_ROOT: list[str] = []
 
@@ -41,6 +47,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """left joined with right, which has one row for each key and in column ``n`` how many rows of left have it (``n`` is dropped).
+
+    The rows of a heavy key never meet in one task: heavy keys, a bounded number, are broadcast, the others are shuffled.
+    Both frames are read more than once, so they should be written tables.
+    """
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if total <= HEAVY_ROWS:
+        return left.join(right.drop(n), keys)
+    heavy = F.col(n) > max(HEAVY_ROWS, total // HEAVY_KEYS)
+    few = right.where(heavy)
+    rest = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.where(~heavy).drop(n), keys)
+    return left.join(F.broadcast(few.drop(n)), keys).unionByName(rest)
+
+
 def blocks(texts: list[str], chars: int) -> Iterator[list[tuple[int, str]]]:
     """(position, text) pairs in runs of about so many characters; a longer text is a run of its own."""
     part: list[tuple[int, str]] = []

@@ -1,7 +1,8 @@
 """Connected components of a link frame, by alternating large and small stars.
 
-Each step keeps one row per link and aggregates with map-side partial minima, so a hub that a third of all links touch
-costs one partial row per task, and the result of every round is a written table: nothing is collected but a row count.
+Minima are aggregated with map-side partial rows, and the links of a hub, which a third of all links may touch, are joined with
+its minimum by broadcast, so they never meet in one task. The result of every round is a written table; the driver sees row
+counts only.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keyed_join, materialize
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
@@ -21,9 +22,9 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ro
     edges = materialize(edges, "links")
     before: tuple | None = None
     for _ in range(rounds):
-        large = _star(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
-        small = _star(large, larger=False)
-        edges = materialize(small, "star")
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = materialize(_star(both, larger=True), "large")
+        edges = materialize(_star(large, larger=False), "star")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
@@ -36,8 +37,8 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ro
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """Links (u, v) with u > v. Large star: each node's larger neighbours go to its smallest neighbour or itself. Small star: its smaller neighbours and itself do."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    joined = keyed_join(pairs, least, ["u"])
     if larger:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -314,12 +314,80 @@ def test_partial_copies_hide_no_pair(spark, monkeypatch, direct):
         assert [found[k + i]["class_id"] for i in range(3)] == [k, k + 1, k + 1] and [found[k + i]["n_links"] for i in range(3)] == [0, 1, 1]
 
 
-def test_functions_agree_on_one_range(spark):
-    together = [(1 << k, 0 + k, 60 + k) for k in range(4)]
-    apart = [*together[:3], (8, 40, 100)]
-    frame = spark.createDataFrame([(1, together), (2, apart), (3, together[:3] + together[:1])], "id int, own array<struct<bit:int,l:int,r:int>>")
-    found = frame.select("id", passages.overlapping(F.col("own"), "l", "r", 46, 4).alias("x")).collect()
-    assert passages.HASHES == 8 and passages.AGREE == 4 and {r["id"]: r["x"] for r in found} == {1: True, 2: False, 3: False}
+def test_functions_agree_on_one_range():
+    windows = lambda *own: tuple(np.array(x) for x in zip(*own, strict=True))
+    line = lambda k, at, root: (k, root, at, at + 30, at + 60)
+    together = windows(*(line(k, k, 7 + k) for k in range(4)))
+    apart = windows(*(line(k, 80 * k, 7 + k) for k in range(4)))
+    assert passages.HASHES == 8 and passages.AGREE == 4 and passages.MEETING == 5
+    assert passages.agree(together, together, 46) and not passages.agree(together, apart, 46) and not passages.agree(apart, apart, 46)
+    assert passages.agree(together, together, 46, 3) and not passages.agree(together, windows(*(line(k, k, 70 + k) for k in range(4))), 46)
+    # ranges must hold the roots of both: here they lie too far apart
+    split = windows(*((k, 7 + k, 0, 0 if k % 2 else 60, 60) for k in range(4)))
+    assert passages.agree(split, split, 46) and not passages.agree(windows(*((k, 7 + k, 0, 5 if k % 2 else 60, 20 if k % 2 else 60) for k in range(4))), split, 46)
+
+
+def test_windows_of_many_texts():
+    """All texts of a batch at once give the windows of the recursive definition."""
+
+    def plain(h, lo, hi, least):
+        if hi - lo < least:
+            return []
+        c = lo + int(h[lo:hi].argmin())
+        return [(lo, c, hi - 1), *plain(h, lo, c, least), *plain(h, c + 1, hi, least)]
+
+    rng = np.random.default_rng(4)
+    for least in (2, 3, 7, 46):
+        for n in (1, 2, 45, 46, 47, 300):
+            h = rng.integers(0, 50, n)
+            assert passages.compact_windows(h, least) == sorted(plain(h, 0, n, least))
+
+
+def test_least_run():
+    """The bound is met: one changed word in the middle of a passage leaves runs of 20 and 21 shingles, and every root there has a context in the run."""
+    assert passages.least_run(50) == 21
+    for passage in (10, 20, 50, 100, 200):
+        run = passages.least_run(passage)
+        size, before = passages.places_of(run)
+        for length in (run, run + 1, run + 30):
+            assert all(any(c - a >= 0 and c - a + size <= length for a in before) for c in range(length))
+
+
+def test_recall_of_near_duplicates(spark):
+    """Passages of 50 to 150 words with changed, dropped and new words: what the verification calls near-duplicate is found."""
+    rng, docs = random.Random(12), []
+    for k in range(150):
+        shared = words(rng.randrange(50, 150), 5000 + k).split()
+        edited = list(shared)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(edited))
+            edited[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["edited"], ["edited"]])
+        for x, own in ((2 * k, shared), (2 * k + 1, edited)):
+            docs.append((x, " ".join([*words(rng.randrange(60), 7000 + x).split(), *own, *words(rng.randrange(60), 8000 + x).split()])))
+    tokens = {i: passages.shingles_of(passages.words_of(t)) for i, t in docs}
+    want = {k for k in range(150) if passages.matching_spans(tokens[2 * k], tokens[2 * k + 1])}
+    found = {r["doc_id"]: r["class_id"] for r in passages.passage_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {k for k in range(150) if found[2 * k + 1] == found[2 * k]}
+    assert got <= want and len(want) > 90 and len(got) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("direct", [8, 1])
+def test_passages_against_all_pairs(spark, monkeypatch, direct):
+    """Classes of verbatim passages that groups of documents share, some documents several, against every pair of texts."""
+    monkeypatch.setattr(passages, "DIRECT", direct)
+    rng, docs = random.Random(5), []
+    pool = [words(rng.randrange(50, 90), 6000 + k).split() for k in range(12)]
+    for i in range(90):
+        own = words(20, 9000 + i).split()
+        for x in rng.sample(pool, rng.choice([0, 0, 1, 1, 2])):
+            own += x if rng.random() < 0.8 else x[: rng.randrange(30, 50)]
+            own += words(10, 9500 + i).split()
+        docs.append((i, " ".join(own)))
+    tokens = {i: passages.shingles_of(passages.words_of(t)) for i, t in docs}
+    want = brute.components([i for i, _ in docs], lambda a, b: bool(passages.matching_spans(tokens[a], tokens[b])))
+    rows = passages.passage_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    found = {r["doc_id"]: r["class_id"] for r in rows}
+    assert [found[i] for i, _ in docs] == want
 
 
 # 8
