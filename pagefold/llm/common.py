@@ -62,6 +62,18 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n")
     return left.join(F.broadcast(few.drop(n)), keys).unionByName(rest)
 
 
+def shared_rows(rows: DataFrame, key: str, node: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of a written table whose key another node has, too, with the key's smallest node (rep) and number of rows (size).
+
+    Keys are counted with map-side partial rows; they are broadcast if there are so few, else joined with heavy keys apart.
+    """
+    groups = rows.groupBy(key).agg(F.min(node).alias("rep"), F.max(node).alias("last"), F.count(F.lit(1)).alias("size")).where("rep < last")
+    groups = materialize(groups.select(key, "rep", "size", F.col("size").alias("n")), "groups")
+    if groups.count() <= broadcast_rows:
+        return rows.join(F.broadcast(groups.drop("n")), key)
+    return keyed_join(rows, groups, [key])
+
+
 def blocks(texts: list[str], chars: int) -> Iterator[list[tuple[int, str]]]:
     """(position, text) pairs in runs of about so many characters; a longer text is a run of its own."""
     part: list[tuple[int, str]] = []

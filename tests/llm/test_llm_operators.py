@@ -353,6 +353,22 @@ def test_least_run():
             assert all(any(c - a >= 0 and c - a + size <= length for a in before) for c in range(length))
 
 
+def test_chains_of_many_runs(monkeypatch):
+    """Leaving out runs that no chain can hold changes nothing, with repeated lines on both sides."""
+    rng = random.Random(3)
+    for _ in range(20):
+        line, shared = words(13, rng.randrange(999)).split(), words(120, rng.randrange(999)).split()
+        edited = list(shared)
+        for _ in range(rng.randrange(4)):
+            edited[rng.randrange(len(edited))] = "edited"
+        make = lambda x: [w for part in rng.sample([line] * 12 + [words(rng.randrange(5, 60), rng.randrange(9999)).split() for _ in range(6)] + [x], 19) for w in part]
+        a, b = (passages.shingles_of([w.encode() for w in make(x)]) for x in (shared, edited))
+        monkeypatch.setattr(passages, "CHAINED", 10**9)
+        want = passages.matching_spans(a, b)
+        monkeypatch.setattr(passages, "CHAINED", 0)
+        assert passages.matching_spans(a, b) == want
+
+
 def test_recall_of_near_duplicates(spark):
     """Passages of 50 to 150 words with changed, dropped and new words: what the verification calls near-duplicate is found."""
     rng, docs = random.Random(12), []
