@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batches_of, keyed_join, materialize, shared_rows
 from .components import connected_components
+from .passages import PRIME, mixed
 
 #: Fingerprints of one tile at most, on average.
 TILE = 4096
@@ -29,6 +31,15 @@ SHINGLE = 5
 RADIUS = 2
 #: Similarity of the shingle sets of two documents of which the pipeline keeps one.
 SIMILARITY = 0.8
+#: 64-bit words of a wide fingerprint, and the bits in which those of two similar sets may differ: at a similarity of 0.8, 39 of
+#: 256 are expected with a deviation of 6, and 128 with 8 between unrelated sets.
+WIDE, WIDE_RADIUS = 4, 80
+WIDE_COLUMNS = tuple(f"f{k}" for k in range(WIDE))
+#: Pairs of documents that may be broadcast (16 bytes each), and pairs of texts that go to Python at a time.
+BROADCAST_ROWS, PAIRS = 1_000_000, 200
+
+
+WIDE_SEEDS = mixed(np.arange(101, 101 + WIDE, dtype=np.uint64) * PRIME)
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -157,49 +168,129 @@ def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, own) of (doc_id, text) rows: the ordered hashes of the text's distinct word shingles; none if it has no word."""
+def set_prints(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, set, n, f0.., prefix) of (doc_id, text) rows: a digest of the set of the text's word shingles, its size, its wide
+    fingerprint, and those of its hashes, the smallest ones, of which a set so similar has one among its own."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            own = [np.unique(shingle_hashes(t, shingle).view(np.int64)) if t else np.empty(0, dtype=np.int64) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "own": own})
-
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(of, f"id {docs.schema['doc_id'].dataType.simpleString()}, own array<long>")
+            rows = []
+            for i, text in zip(frame["id"], frame["text"], strict=True):
+                own = shingle_set(text, shingle)
+                bits = np.zeros(64 * WIDE, dtype=np.int64)
+                for at in range(0, len(own), 1 << 14):
+                    part = own[at : at + (1 << 14)].view(np.uint64)
+                    part = np.stack([mixed(part ^ seed) for seed in WIDE_SEEDS], axis=1).astype("<u8")
+                    bits += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                fp = np.packbits(bits * 2 > len(own), bitorder="little").view("<i8")
+                least = int(np.ceil(similarity * len(own) - 1e-9))
+                rows.append((i, xxhash.xxh64_intdigest(own.tobytes()) - 2**63, len(own), *fp.tolist(), own[: len(own) - least + 1] if len(own) else own))
+            yield pd.DataFrame(rows, columns=["id", "set", "n", *WIDE_COLUMNS, "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(of, f"id {kind}, set long, n int, {', '.join(f'{c} long' for c in WIDE_COLUMNS)}, prefix array<long>")
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's distinct word shingles, as signed longs in order; of all its words if they are fewer."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, dtype=np.int64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    size = min(shingle, len(words))
+    out = np.full(len(words) - size + 1, size, dtype=np.uint64)
+    for k in range(size):
+        out = out * PRIME + own[k : k + len(out)]
+    return np.unique(mixed(out).view(np.int64))
+
+
+def near_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool, radius: int, similarity: float, rows: int = 1 << 16) -> list[tuple[int, int]]:
+    """Pairs of nodes of two tiles whose fingerprints differ in no more bits, whose components differ, and whose sets may be similar enough by
+    their sizes and the places of the common hash. Tiles whose population counts differ beyond the radius are skipped."""
+    count = lambda x: np.bitwise_count(x["fps"]).sum(axis=1)
+    ca, cb = count(a), count(b)
+    if max(ca.min() - cb.max(), cb.min() - ca.max()) > radius:
+        return []
+    out: list[tuple[int, int]] = []
+    step = max(1, rows // len(b["node"]))
+    for at in range(0, len(a["node"]), step):
+        x = {k: v[at : at + step] for k, v in a.items()}
+        bits = sum(np.bitwise_count(x["fps"][:, w, None] ^ b["fps"][None, :, w]).astype(np.int64) for w in range(WIDE))
+        n, m, i, j = x["n"][:, None], b["n"][None, :], x["at"][:, None], b["at"][None, :]
+        common = np.minimum(i, j) + np.minimum(n - i, m - j)
+        near = (bits <= radius) & (x["component"][:, None] != b["component"][None, :]) & (common * (1 + similarity) >= similarity * (n + m) - 1e-9)
+        if same:
+            near &= np.arange(at, at + len(near))[:, None] < np.arange(len(b["node"]))[None, :]
+        for p, q in zip(*np.nonzero(near), strict=True):
+            out.append((int(x["node"][p]), int(b["node"][q])))
+    return out
 
 
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
     """(doc_id, component_id) of each row: the smallest id that links of so similar shingle sets reach.
 
-    Sets so similar have a hash in common among the first of either (prefix filter), so no pair is missed; each is verified
-    on the whole sets. Documents that a first round connects aren't compared with each other again.
+    Equal sets collapse. Sets so similar have a hash in common among the first of either, and wide fingerprints within the
+    radius (all but one in a million: the share of differing bits is the angle between the sets); what is left is verified on the
+    whole sets. The documents of a hash are compared with its first one, then tile by tile with those that aren't in their component yet.
     """
-    sets = materialize(shingle_sets(docs, shingle).withColumn("set", F.xxhash64("own")), "sets")
-    distinct = sets.groupBy("set").agg(F.min("id").cast("long").alias("node"), F.first("own").alias("own"))
+    prints = materialize(set_prints(docs, shingle, similarity), "prints")
+    distinct = prints.groupBy("set").agg(F.min("id").cast("long").alias("node"), *(F.first(c).alias(c) for c in ("n", *WIDE_COLUMNS, "prefix")))
     distinct = materialize(distinct, "distinct")
-    full = distinct.where("node is not null and size(own) > 0").select("node", "own", F.size("own").alias("n"))
-    least = F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)).cast("int")
-    prefix = full.select("node", "n", F.posexplode(F.slice("own", F.lit(1), F.col("n") - least + 1)).alias("at", "hash"))
-    met = Window.partitionBy("hash")
-    prefix = prefix.withColumn("first", F.min("node").over(met)).withColumn("last", F.max("node").over(met)).where("first < last")
-    prefix = materialize(prefix.select("node", "n", "at", "hash", "first"), "prefix")
+    full = distinct.where("node is not null and n > 0")
+    prefix = materialize(full.select("node", F.posexplode("prefix").alias("at", "hash")), "prefix")
+    rows = shared_rows(prefix, "hash", "node").select("hash", "node", "at", "size")
+    rows = materialize(rows.join(full.select("node", "n", *WIDE_COLUMNS), "node"), "rows")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lru_cache(maxsize=64)(lambda text: shingle_set(text, shingle))
+        for frame in batches:
+            good = []
+            for text, rep_text in zip(frame["text"], frame["rep_text"], strict=True):
+                own, other = read(text), read(rep_text)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                good.append(both >= similarity * (len(own) + len(other) - both) - 1e-9)
+            yield frame.loc[np.array(good, dtype=bool), ["a", "b"]]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (full.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("own_a", "own_b"))
-        return materialize(pairs.join(a, "a").join(b, "b").where(both >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - both) - 1e-9).select("a", "b"), "similar")
-
-    starred = verified(prefix.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+        few = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda frame: frame)
+        one = texts.join(few(pairs), F.col("node") == F.col("b")).select("a", "b", "text")
+        other = texts.join(few(pairs.select("a").distinct()), F.col("node") == F.col("a"), "left_semi").select(F.col("node").alias("a"), F.col("text").alias("rep_text"))
+        with batches_of(docs.sparkSession, PAIRS):
+            return materialize(one.join(other, "a").select("a", "b", "text", "rep_text").mapInPandas(verify, "a long, b long").distinct(), "similar")
+
+    first = rows.groupBy("hash").agg(F.min(F.struct("node", "at", "n", *WIDE_COLUMNS)).alias("first"), F.count(F.lit(1)).alias("rows"))
+    met = keyed_join(rows, materialize(first, "first"), ["hash"], "rows").where("node <> first.node")
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"first.{c}"))) for c in WIDE_COLUMNS), F.lit(0))
+    common = F.least("at", "first.at") + F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at"))
+    met = met.where((bits <= radius) & (common * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("first.n")) - 1e-9))
+    tried = materialize(met.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    starred = verified(tried)
     known = connected_components(starred)
-    rows = prefix.join(known, "node", "left").select("hash", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-    other = rows.select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("component_a"))
-    pairs = rows.join(other, "hash").where((F.col("a") < F.col("node")) & (F.col("component_a") != F.col("component")))
-    # what the places of the hash leave for the whole sets
-    most = F.least("at", "at_a") + F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a"))
-    pairs = pairs.where(most * (1 + similarity) >= F.lit(similarity) * (F.col("n") + F.col("n_a")) - 1e-9).select("a", F.col("node").alias("b")).distinct()
-    found = connected_components(starred.unionByName(verified(pairs)))
+    left = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int"))
+    left = materialize(left, "left")
+    several = left.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hash")
+    names = ["node", "at", "n", "component", *WIDE_COLUMNS]
+    tiles = left.groupBy("hash", "tile").agg(F.collect_list(F.struct(*names)).alias("own"))
+    tiles = materialize(tiles.join(several, "hash").select("hash", "tile", *(F.col(f"own.{c}").alias(c) for c in names)), "tiles")
+    other = tiles.select("hash", *(F.col(c).alias(f"other_{c}") for c in ("tile", *names)))
+    both = tiles.join(other, "hash").where("tile <= other_tile").where((F.col("tile") != F.col("other_tile")) | (F.size("node") > 1))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for r in frame.to_dict("records"):
+                a, b = ({c: np.asarray(r[side + c]) for c in names} for side in ("", "other_"))
+                for x in (a, b):
+                    x["fps"] = np.stack([x[c].view(np.uint64) for c in WIDE_COLUMNS], axis=1)
+                out += near_pairs(a, b, r["tile"] == r["other_tile"], radius, similarity)
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
+
+    pairs = both.mapInPandas(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    found = connected_components(starred.unionByName(verified(materialize(pairs, "pairs"))))
     groups = distinct.join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
-    return sets.select("id", "set").join(groups, "set", "left").select(F.col("id").alias("doc_id"), "component_id")
+    return prints.select("id", "set").join(groups, "set", "left").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
