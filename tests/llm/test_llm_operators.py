@@ -254,6 +254,43 @@ def test_all_matching_recordings_are_linked(spark):
     assert found == {1: (1, 2), 2: (1, 2), 3: (1, 2)}
 
 
+def test_close_pairs_lose_no_match():
+    """Every pair that matches as a whole is close around a key that both hold."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(20, 64))
+    vectors = np.concatenate([vectors, vectors + rng.normal(size=(20, 64)) * 0.08, vectors + rng.normal(size=(20, 64)) * 0.3])
+    prints = [audio.fingerprint(audio.decode_wave(audio.render(v))) for v in vectors]
+    found = 0
+    for b in range(60):
+        for a in range(b):
+            if audio.matches(prints[b], prints[a]):
+                held = [{int(k): i for i, k in reversed(list(enumerate(audio.keys_of(prints[x]))))} for x in (b, a)]
+                rows = [audio.around_key(prints[x], h[k]) + (len(prints[x]),) for k in held[0].keys() & held[1].keys() for x, h in zip((b, a), held, strict=True)]
+                x = {c: np.array([r[n] for r in rows]) for n, c in ((0, "low"), (1, "high"), (3, "size"))}
+                x["frames"] = np.frombuffer(b"".join(r[2] for r in rows), dtype="<u4").reshape(len(rows), -1)
+                assert audio.close_pairs(x, np.arange(0, len(rows), 2), np.arange(1, len(rows), 2)).any()
+                found += 1
+    assert found >= 20
+
+
+@pytest.mark.parametrize(("direct", "tile"), [(16, 1024), (2, 1024), (2, 4)])
+def test_classes_are_those_of_all_pairs(spark, monkeypatch, direct, tile):
+    monkeypatch.setattr(audio, "DIRECT", direct)
+    monkeypatch.setattr(audio, "TILE", tile)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(12, 64))
+    vectors = np.concatenate([vectors, *(vectors[: 12 // (k + 1)] + rng.normal(size=(12 // (k + 1), 64)) * 0.1 for k in range(8)), vectors[:1] + rng.normal(size=(15, 64)) * 0.1, rng.normal(size=(1, 200))[:, :64]])
+    prints = [audio.fingerprint(audio.decode_wave(audio.render(v))) for v in vectors]
+    want = brute.components(list(range(len(prints))), lambda a, b: audio.matches(prints[a], prints[b]))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    found = {r["vec_id"]: r["class_id"] for r in audio.recording_classes(frame, "vec_id", "embedding", load=audio.render).collect()}
+    assert [found[i] for i in range(len(prints))] == want and 10 < len(set(want)) < len(want)
+
+
+def test_long_vectors_are_rendered_whole():
+    assert len(audio.decode_wave(audio.render([0.1, 0.2] * 200))) == audio.HOP * (400 - audio.CLASSES + 1)
+
+
 # 7
 
 
