@@ -109,14 +109,15 @@ def count_words(chunks: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Totals and classes: of a fixed size, whatever the corpus."""
+    """Totals and classes: of a fixed size, whatever the corpus. Its values are what is sent to executors, which may not have this class."""
 
-    def __init__(self, counted: DataFrame):
+    def __init__(self, values: dict):
+        self.__dict__.update(values)
+
+    @staticmethod
+    def of(counted: DataFrame) -> Vocabulary:
         totals = {r["suffix"]: (r["n"], r["v"]) for r in counted.where(F.col("first") & (F.col("n") > 0)).groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
         top = counted.where(F.col("often").isNotNull() & (F.col("often") != END) & (F.col("n") > 0)).groupBy("often").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "often").limit(FREQUENT).collect()
-        self.tokens = sum(n for n, _ in totals.values())
-        self.words = sum(v for _, v in totals.values())
-        self.frequent = {r["often"]: k for k, r in enumerate(top)}
         count, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
         for s, (n, v) in totals.items():
             count[FREQUENT + s], kinds[FREQUENT + s] = n, v
@@ -125,9 +126,11 @@ class Vocabulary:
             own = FREQUENT + suffix_class(r["often"])
             count[own] -= r["n"]
             kinds[own] -= 1
-        self.count, self.kinds = count, kinds
-        #: The unigram distribution of the classes, smoothed so that none is impossible.
-        self.unigram = (count + 1) / (count.sum() + CLASSES)
+        return Vocabulary({
+            "tokens": sum(n for n, _ in totals.values()), "words": sum(v for _, v in totals.values()), "frequent": {r["often"]: k for k, r in enumerate(top)}, "count": count, "kinds": kinds,
+            # the unigram distribution of the classes, smoothed so that none is impossible
+            "unigram": (count + 1) / (count.sum() + CLASSES),
+        })
 
     def classes(self, words: list[str]) -> np.ndarray:
         frequent, out = self.frequent, np.empty(len(words), dtype=np.int32)
@@ -228,10 +231,10 @@ def _arrays(row, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nda
 def train_model(chunks: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Parameters, averaged over the tasks by the tokens each has learnt from."""
     spark = chunks.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = spark.sparkContext.broadcast(vars(vocabulary))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = sent.value
+        vocabulary = Vocabulary(sent.value)
         model, seen = LogBilinear(vocabulary.unigram), 0
         squares = {n: np.full(getattr(model, n).shape, 1e-2) for n in model.NAMES}
         rng = np.random.default_rng(11)
@@ -275,12 +278,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = docs.schema[id_col].dataType.simpleString()
     chunks = materialize(chunks_of(docs, id_col, text_col, F.lit(False) if held_out is None else held_out), "coded")
     counted = materialize(count_words(chunks), "counted")
-    vocabulary = Vocabulary(counted)
+    vocabulary = Vocabulary.of(counted)
     parameters = train_model(chunks, vocabulary)
-    sent = spark.sparkContext.broadcast((vocabulary, parameters))
+    sent = spark.sparkContext.broadcast((vars(vocabulary), parameters))
 
     def score(coded: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        vocabulary, parameters = sent.value
+        vocabulary, parameters = Vocabulary(sent.value[0]), sent.value[1]
         model = LogBilinear(vocabulary.unigram).unpack(parameters)
         outs = []
         for row in coded.itertuples(index=False):

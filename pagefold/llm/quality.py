@@ -5,7 +5,8 @@ metadata (language, source, size). For each target a logistic model of each view
 round both views name the unlabelled documents they are surest of, and the other view learns from those pseudo-labels.
 Each view is then calibrated on labelled rows that it never learnt from, and the calibrated log-odds are combined by a last
 small model on the same rows. Fitting uses a bounded, documented sample (``LABELLED`` and ``UNLABELLED`` rows, spread by
-hash), so it costs the same at any size; scoring is one narrow pass over all documents with weights of a fixed size.
+hash, of ``CHARS`` characters together at most), so it costs the same at any size, and the driver holds four bytes for each feature of the
+sample; scoring is one narrow pass over all documents with weights of a fixed size.
 """
 
 from __future__ import annotations
@@ -20,12 +21,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import materialize
 
 #: Labelled rows that the models are fitted and calibrated on, and rows that co-training may give pseudo-labels.
-LABELLED = 5_000
-UNLABELLED = 2_000
-#: A word is seen by its first bytes, so long words and inflected forms of one share features.
-BEGINNINGS = (8, 6, 5, 4)
+LABELLED = 12_000
+UNLABELLED = 4_000
+#: Characters of either sample's texts: rows beyond it, in the order of the hash, are left out. A text has a few features for each word.
+CHARS = 48_000_000
+#: A word is seen whole and by its first bytes, so long words and inflected forms of one share features.
+BEGINNINGS = (64, 8, 7, 6, 5, 4, 3)
+#: Features that are looked at together.
+FEATURES = 1 << 20
 #: Hashed features of the text view: words, then shapes and repetition; and of the metadata view.
 WORDS = 1 << 18
 SHAPES = 1 << 8
@@ -45,63 +53,94 @@ EDGE = b".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~^@`"
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values: presence of word beginnings, square roots of the shares of shapes, of repeats and of rare-word signs."""
+    """Numbers of the word features that are present, and the shape features: square roots of the shares of shapes, of repeats and of rare-word signs."""
     words = text.encode("utf-8", "surrogatepass").split() if text else []
+    shapes = np.zeros(SHAPES, dtype=np.float32)
     if not words:
-        return np.array([WORDS], dtype=np.int32), np.ones(1, dtype=np.float32)
-    begun, all_begun = {w.strip(EDGE).lower() for w in set(words)}, set()
+        shapes[0] = 1.0
+        return np.empty(0, dtype=np.int32), shapes
+    distinct = set(words)
+    begun, all_begun = {w.strip(EDGE).lower() for w in distinct}, set()
     for n in BEGINNINGS:
         begun = {w[:n] for w in begun}
         all_begun |= begun
-    found = {zlib.crc32(w) % WORDS for w in all_begun}
-    shapes: Counter = Counter()
+    crc = zlib.crc32
+    found = np.unique(np.fromiter(map(crc, all_begun), dtype=np.uint32, count=len(all_begun)) & np.uint32(WORDS - 1)).astype(np.int32)
     for shape, n in Counter(text.encode("utf-8", "surrogatepass").translate(SHAPE).split()).items():
-        shapes[1 + zlib.crc32(RUN.sub(rb"\1", shape)) % (SHAPES - 4)] += n / len(words)
+        shapes[1 + crc(RUN.sub(rb"\1", shape)) % (SHAPES - 4)] += n / len(words)
     shapes[SHAPES - 3] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
-    shapes[SHAPES - 2] = 1 - len(set(words)) / len(words)
+    shapes[SHAPES - 2] = 1 - len(distinct) / len(words)
     shapes[SHAPES - 1] = min(1.0, np.log1p(len(words)) / 10)
-    index = np.array([*found, *(WORDS + k for k in shapes)], dtype=np.int32)
-    value = np.array([*([1 / np.sqrt(50)] * len(found)), *(np.sqrt(v) for v in shapes.values())], dtype=np.float32)
-    return index, value
+    return found, np.sqrt(shapes)
 
 
-def meta_features(values: dict[str, object]) -> tuple[np.ndarray, np.ndarray]:
+def meta_features(values: dict[str, object]) -> np.ndarray:
     """Each column's value as a hashed feature; numbers by their order of magnitude. Nulls are a value of their own."""
     out = [0]
     for name, v in values.items():
         if isinstance(v, (int, float, np.integer, np.floating)) and not (isinstance(v, float) and np.isnan(v)):
             v = f"2^{int(np.log2(1 + abs(float(v))))}"
         out.append(1 + zlib.crc32(f"{name}={v}".encode()) % (META - 1))
-    return np.array(out, dtype=np.int32), np.ones(len(out), dtype=np.float32)
+    return np.array(out, dtype=np.int32)
 
 
 class Rows:
-    """Sparse rows with numpy products."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.sizes = np.array([len(i) for i, _ in rows], dtype=np.int64)
-        self.index = np.concatenate([i for i, _ in rows]) if rows else np.empty(0, dtype=np.int32)
-        self.value = np.concatenate([v for _, v in rows]) if rows else np.empty(0, dtype=np.float32)
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
-        self.width, self.n = width, len(rows)
+    """Rows of features that are present, all of one value, and of dense ones after them; numpy products take so many features at a time."""
+
+    def __init__(self, sparse: list[np.ndarray], width: int, value: float = 1.0, dense: np.ndarray | None = None):
+        self.sizes = np.array([len(x) for x in sparse], dtype=np.int64)
+        self.index = np.concatenate([*sparse, np.empty(0, dtype=np.int32)])
+        self.value, self.n = value, len(sparse)
+        self.dense = np.zeros((self.n, 0), dtype=np.float32) if dense is None else dense
+        self.sparse_width, self.width = width, width + self.dense.shape[1]
+
+    def parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows, sizes, features) of runs of rows."""
+        ends = np.cumsum(self.sizes)
+        at = 0
+        while at < self.n:
+            begin = int(ends[at] - self.sizes[at])
+            to = max(at + 1, int(np.searchsorted(ends, begin + FEATURES, side="right")))
+            yield slice(at, to), self.sizes[at:to], self.index[begin : int(ends[to - 1])]
+            at = to
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.index].astype(np.float32), self.n)
+        out = self.dense @ weights[self.sparse_width :]
+        for rows, sizes, index in self.parts():
+            out[rows] += self.value * np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[index], len(sizes))
+        return out
+
+    def transposed(self, x: np.ndarray, value: float | None = None) -> np.ndarray:
+        out = np.zeros(self.width)
+        out[self.sparse_width :] = x @ self.dense
+        for rows, sizes, index in self.parts():
+            out[: self.sparse_width] += np.bincount(index, np.repeat(x[rows], sizes), self.sparse_width)
+        out[: self.sparse_width] *= self.value if value is None else value
+        return out
 
-    def transposed(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.value * x[self.row].astype(np.float32), self.width)
+    def presence(self, x: np.ndarray) -> np.ndarray:
+        """Sum of x over the rows that hold each feature."""
+        out = self.transposed(x, 1.0)
+        out[self.sparse_width :] = x @ (self.dense != 0)
+        return out
 
+    def squares(self, by: np.ndarray) -> np.ndarray:
+        """Sum of the squared values of each row, each times a factor of its feature."""
+        out = (self.dense.astype(np.float64) ** 2) @ by[self.sparse_width :] ** 2
+        for rows, sizes, index in self.parts():
+            out[rows] += self.value**2 * np.bincount(np.repeat(np.arange(len(sizes)), sizes), by[index] ** 2, len(sizes))
+        return out
 
-    def present(self) -> np.ndarray:
-        """Rows that hold each feature."""
-        return np.bincount(self.index, minlength=self.width)
+    def chosen(self, rows: np.ndarray) -> Rows:
+        begins = np.cumsum(self.sizes) - self.sizes
+        return Rows([self.index[begins[k] : begins[k] + self.sizes[k]] for k in rows], self.sparse_width, self.value, self.dense[rows])
 
-    def scaled(self, by: np.ndarray) -> Rows:
-        """Values times a factor of their feature, without those that become zero."""
-        value = self.value * by[self.index].astype(np.float32)
-        some = np.flatnonzero(value)
-        out = Rows.__new__(Rows)
-        out.index, out.value, out.row, out.width, out.n = self.index[some], value[some], self.row[some], self.width, self.n
+    def only(self, wanted: np.ndarray) -> Rows:
+        """Without the sparse features that aren't wanted."""
+        out = Rows([], self.sparse_width, self.value, self.dense)
+        keep = np.concatenate([wanted[index] for _, _, index in self.parts()] + [np.empty(0, dtype=bool)])
+        out.sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(self.sizes)])])
+        out.index, out.n, out.width = self.index[keep], self.n, self.width
         return out
 
 
@@ -128,19 +167,18 @@ def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 0.01, st
     p, q = rows.transposed(positive) + smooth, rows.transposed(negative) + smooth
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     # only features whose rows differ in label beyond chance: the likelihood-ratio statistic of presence against label
-    seen = rows.present()
-    a, b = np.bincount(rows.index, positive[rows.row], rows.width), np.bincount(rows.index, negative[rows.row], rows.width)
+    a, b = rows.presence(positive), rows.presence(negative)
     share = positive.sum() / max(positive.sum() + negative.sum(), 1e-9)
     evidence = 2 * (_xlog(a, (a + b) * share) + _xlog(b, (a + b) * (1 - share)))
-    ratio[(evidence < EVIDENCE) & (seen < rows.n)] = 0
-    scaled = rows.scaled(ratio)
+    ratio[(evidence < EVIDENCE) & (rows.presence(np.ones(rows.n)) < rows.n)] = 0
+    few = rows.only(ratio[: rows.sparse_width] != 0)
     w, b, w0, b0 = np.zeros(rows.width), 0.0, np.zeros(rows.width), 0.0
-    curve = 0.25 * float((weight * np.bincount(scaled.row, scaled.value.astype(np.float64) ** 2, rows.n)).sum() + weight.sum()) / 4 + penalty
+    curve = 0.25 * float((weight * few.squares(ratio)).sum() + weight.sum()) / 4 + penalty
     for k in range(steps):
         v, c = w + k / (k + 3) * (w - w0), b + k / (k + 3) * (b - b0)
-        error = weight * (_sigmoid(scaled.times(v) + c) - y)
+        error = weight * (_sigmoid(few.times(v * ratio) + c) - y)
         w0, b0 = w, b
-        w = v - (scaled.transposed(error) + penalty * v) / curve
+        w = v - (few.transposed(error) * ratio + penalty * v) / curve
         b = c - error.sum() / curve
     return Linear(w * ratio, float(b))
 
@@ -158,7 +196,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 
 @dataclass
 class Target:
-    """Calibrated views of one target and how they combine."""
+    """Calibrated views of one target and how they combine. ``packed`` is what is sent to executors, which may not have this class."""
 
     text: Linear
     meta: Linear
@@ -166,14 +204,22 @@ class Target:
     meta_scale: np.ndarray
     mix: np.ndarray
 
+    def packed(self) -> tuple:
+        small = lambda m: (m.weights.astype(np.float32), m.bias)
+        return small(self.text), small(self.meta), self.text_scale, self.meta_scale, self.mix
+
+    @staticmethod
+    def unpacked(packed: tuple) -> Target:
+        return Target(Linear(*packed[0]), Linear(*packed[1]), *packed[2:])
+
     def probabilities(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.text_scale[0] * self.text.score(text) + self.text_scale[1]
         b = self.meta_scale[0] * self.meta.score(meta) + self.meta_scale[1]
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.mix[0] * a + self.mix[1] * b + self.mix[2])
 
 
-def cotrain(text: Rows, meta: Rows, y: np.ndarray, part: np.ndarray, build) -> Target:
-    """y: 0, 1 or -1 without a label. part: True for the labelled rows kept for calibration. build(view, chosen) selects rows."""
+def cotrain(text: Rows, meta: Rows, y: np.ndarray, part: np.ndarray) -> Target:
+    """y: 0, 1 or -1 without a label. part: True for the labelled rows kept for calibration."""
     learn, held = np.flatnonzero((y >= 0) & ~part), np.flatnonzero((y >= 0) & part)
     free = np.flatnonzero(y < 0)
     guesses: list[dict[int, int]] = [{}, {}]  # what each view is told by the other
@@ -184,12 +230,12 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, part: np.ndarray, build) -> T
             chosen = np.concatenate([learn, np.array(sorted(guesses[v]), dtype=np.int64)]).astype(np.int64)
             target = np.concatenate([y[learn], [guesses[v][i] for i in sorted(guesses[v])]]).astype(np.float64)
             weight = np.concatenate([np.ones(len(learn)), np.full(len(guesses[v]), 0.5)])
-            models[v] = fit(build(views[v], chosen), target, weight)
+            models[v] = fit(views[v].chosen(chosen), target, weight)
         if turn == ROUNDS or not len(free) or not len(held):
             break
         for v in (0, 1):
-            scale = calibrate(models[v].score(build(views[v], held))[:, None], y[held])
-            p = _sigmoid(scale[0] * models[v].score(build(views[v], free)) + scale[1])
+            scale = calibrate(models[v].score(views[v].chosen(held))[:, None], y[held])
+            p = _sigmoid(scale[0] * models[v].score(views[v].chosen(free)) + scale[1])
             ranked = np.lexsort((free, p))
             for label, best in ((0, ranked[:NAMED]), (1, ranked[::-1][:NAMED])):
                 for k in best:
@@ -197,72 +243,81 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, part: np.ndarray, build) -> T
                         guesses[1 - v][int(free[k])] = label
     if not len(held):
         held = learn
-    a, b = models[0].score(build(text, held)), models[1].score(build(meta, held))
+    a, b = models[0].score(text.chosen(held)), models[1].score(meta.chosen(held))
     sa, sb = calibrate(a[:, None], y[held]), calibrate(b[:, None], y[held])
     mix = calibrate(np.column_stack([sa[0] * a + sa[1], sb[0] * b + sb[1]]), y[held])
     return Target(models[0], models[1], sa, sb, mix)
 
 
-def fit_targets(features: pd.DataFrame, targets: tuple[str, ...]) -> dict[str, Target]:
-    """features: columns ti, tv, mi (packed numbers), part, and each target (0, 1 or null)."""
-    text = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for i, v in zip(features["ti"], features["tv"], strict=True)]
-    meta = [(m := np.frombuffer(i, dtype=np.int32), np.ones(len(m), dtype=np.float32)) for i in features["mi"]]
-    width = {id(text): WORDS + SHAPES, id(meta): META}
-    build = lambda view, chosen: Rows([view[i] for i in chosen], width[id(view)])
-    del features["ti"], features["tv"], features["mi"]
+def text_rows(features: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+    return Rows([i for i, _ in features], WORDS, float(1 / np.sqrt(50)), np.array([d for _, d in features], dtype=np.float32).reshape(-1, SHAPES))
+
+
+def fit_targets(features: pd.DataFrame, targets: tuple[str, ...]) -> dict[str, Target | None]:
+    """features: columns words, shapes, meta (packed numbers, taken out of the frame), part, and each target (0, 1 or missing)."""
+    text = text_rows([(np.frombuffer(i, dtype=np.int32), np.frombuffer(d, dtype=np.float32)) for i, d in zip(features.pop("words"), features.pop("shapes"), strict=True)])
+    meta = Rows([np.frombuffer(i, dtype=np.int32) for i in features.pop("meta")], META)
     out = {}
     for name in targets:
-        y = features[name].fillna(-1).to_numpy(dtype=np.int64)
-        out[name] = cotrain(text, meta, y, features["part"].to_numpy(dtype=bool), build) if (y >= 0).any() else None
+        y = features[name].astype("float64").fillna(-1).to_numpy(dtype=np.int64)
+        out[name] = cotrain(text, meta, y, features["part"].to_numpy(dtype=bool)) if (y >= 0).any() else None
     return out
 
 
-def _spread(frame: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most so many rows, by the hash of a column: a heap of that size in each task, and no full sort."""
-    return frame.orderBy(F.xxhash64(F.col(key), F.lit("sample")), key).limit(rows)
+def _spread(frame: DataFrame, key: str, rows: int, chars: int) -> DataFrame:
+    """At most so many (key, size) rows with so many characters together, by the hash of the key, as a frame of keys of a fixed bound.
+
+    A first bound on the hash, from the count of all rows, leaves about twice as many; then each task keeps a heap of that size.
+    """
+    kind, total = frame.schema[key].dataType, frame.count()
+    hashed = F.xxhash64(F.col(key), F.lit("sample"))
+    near = frame if total <= 2 * rows else frame.where(hashed < int(-(2**63) + 2**64 * min(1.0, 2 * rows / total)))
+    taken = near.orderBy(hashed, key).limit(rows).collect()
+    ends = np.cumsum([r["size"] or 0 for r in taken])
+    some = [(r[key],) for r, end in zip(taken, ends, strict=True) if end <= chars]
+    return frame.sparkSession.createDataFrame(some, T.StructType([T.StructField(key, kind)]))
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"),
-    targets: tuple[str, ...] = ("quality", "toxic"), labelled: int = LABELLED, unlabelled: int = UNLABELLED,
+    targets: tuple[str, ...] = ("quality", "toxic"), labelled: int = LABELLED, unlabelled: int = UNLABELLED, chars: int = CHARS,
 ) -> DataFrame:
     """Adds p_<target>, text_<target> and meta_<target> (probabilities of label 1) to every row of docs.
 
     Labels of one id that differ count as their rounded mean; null labels and labels of unknown ids are left out; a target
     without any label gets the probability 0.5. Null and empty texts have a feature of their own; null metadata is a value;
-    repeated rows each get the same score; a text of any length is read whole; an empty table gives an empty frame.
+    repeated rows each get the same score; a text of any length is read whole; columns of those names are replaced; an empty
+    table gives an empty frame.
     """
     spark = docs.sparkSession
     names = [c for c in meta_cols if c in docs.columns]
     known = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*(F.round(F.avg(t)).cast("int").alias(t) for t in targets))
-    # both samples have a fixed bound, so they may be broadcast
-    chosen = F.broadcast(_spread(known, id_col, labelled))
     wanted = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *names)
-    with_labels = wanted.join(chosen, id_col)
-    others = F.broadcast(_spread(docs.select(id_col).where(F.col(id_col).isNotNull()), id_col, unlabelled).distinct())
-    without = wanted.join(others, id_col).join(F.broadcast(chosen.select(id_col)), id_col, "left_anti").select("*", *(F.lit(None).cast("int").alias(t) for t in targets))
+    sized = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.char_length(text_col)).alias("size")), "sizes")
+    # both samples have a fixed bound, so they may be broadcast
+    chosen = F.broadcast(_spread(sized.join(known, id_col, "left_semi"), id_col, labelled, chars))
+    others = F.broadcast(_spread(sized, id_col, unlabelled, chars))
+    with_labels = wanted.join(chosen, id_col).join(F.broadcast(known.join(chosen, id_col)), id_col)
+    without = wanted.join(others, id_col).join(chosen, id_col, "left_anti").select("*", *(F.lit(None).cast("int").alias(t) for t in targets))
     pool = with_labels.unionByName(without).withColumn("part", F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.lit(4)) == 0)
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             text = [text_features(t) for t in frame["_text"]]
-            meta = [meta_features(dict(zip(names, v, strict=True)))[0] for v in zip(*(frame[c] for c in names), strict=True)] if names else [meta_features({})[0]] * len(frame)
-            yield pd.DataFrame({"id": frame[id_col], "ti": [i.tobytes() for i, _ in text], "tv": [v.tobytes() for _, v in text], "mi": [m.tobytes() for m in meta], "part": frame["part"], **{t: frame[t] for t in targets}})
+            meta = [meta_features(dict(zip(names, v, strict=True))) for v in zip(*(frame[c] for c in names), strict=True)] if names else [meta_features({})] * len(frame)
+            yield pd.DataFrame({"id": frame[id_col], "words": [i.tobytes() for i, _ in text], "shapes": [d.tobytes() for _, d in text], "meta": [m.tobytes() for m in meta], "part": frame["part"], **{t: frame[t] for t in targets}})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    sample = pool.mapInPandas(featurize, f"id {id_type}, ti binary, tv binary, mi binary, part boolean, " + ", ".join(f"{t} int" for t in targets))
+    sample = pool.mapInPandas(featurize, f"id {id_type}, words binary, shapes binary, meta binary, part boolean, " + ", ".join(f"{t} int" for t in targets))
     table = pd.DataFrame(sample.collect(), columns=sample.columns).drop_duplicates("id").sort_values("id", kind="stable").reset_index(drop=True)
     models = fit_targets(table, targets) if len(table) else dict.fromkeys(targets)
-    for m in models.values():
-        if m is not None:
-            m.text.weights, m.meta.weights = m.text.weights.astype(np.float32), m.meta.weights.astype(np.float32)
-    sent = spark.sparkContext.broadcast(models)
+    sent = spark.sparkContext.broadcast({t: m and m.packed() for t, m in models.items()})
     fields = [f"{p}_{t}" for t in targets for p in ("p", "text", "meta")]
 
     @F.pandas_udf("struct<" + ",".join(f"{f}:double" for f in fields) + ">")
     def scores(text: pd.Series, meta: pd.DataFrame) -> pd.DataFrame:
-        models = sent.value
-        tr = Rows([text_features(t) for t in text], WORDS + SHAPES)
+        models = {t: m and Target.unpacked(m) for t, m in sent.value.items()}
+        tr = text_rows([text_features(t) for t in text])
         mr = Rows([meta_features(dict(zip(names, v, strict=True))) for v in zip(*(meta[c] for c in names), strict=True)] if names else [meta_features({})] * len(text), META)
         out = {}
         for t in targets:
@@ -271,7 +326,8 @@ def classify(
         return pd.DataFrame(out, columns=fields)
 
     meta = F.struct(*(F.col(c) for c in names)) if names else F.struct(F.lit(0).alias("none"))
-    return docs.withColumn("_scores", scores(F.col(text_col), meta)).select(*docs.columns, *(F.col(f"_scores.{f}").alias(f) for f in fields))
+    old = [c for c in docs.columns if c not in fields]
+    return docs.withColumn("_scores", scores(F.col(text_col), meta)).select(*old, *(F.col(f"_scores.{f}").alias(f) for f in fields))
 
 
 def kept():
