@@ -1,10 +1,12 @@
 """Main-text extraction from HTML by tree scoring.
 
-A page is scanned into a light tree. Page furniture (menus, adverts, forms and so on, by element, role or the words of its
-class and id) is cut out first. Each paragraph then earns points for its length and its commas and passes them on to its
-ancestors in falling shares; a container's score is discounted by the share of its text that stands in links. The best
-container is kept together with the siblings that score well or are plain prose, and widened to the article around it.
-Every page is a row of its own, so the plan is one narrow pass without a shuffle.
+A page is scanned into a light tree. Furniture that its element, role or state proves (menus, forms, hidden parts and so on) is
+cut out. Parts whose class or id names furniture are cut, too, unless they hold the article or nothing else would be left. Each
+paragraph then earns points for its length and its commas and passes them on to its ancestors in falling shares; a container's
+score is discounted by the share of its text that stands in links, and lowered if its class or id merely mentions furniture. The
+best container is kept together with the siblings that score well or are plain prose, and widened to the article around it.
+A page takes time in proportion to its length, however deep its elements are nested. Every page is a row of its own, so the plan is
+one narrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -41,159 +43,184 @@ WORDS = frozenset(
     "login register search share sharing social follow related recommended recommendations recirculation outbrain taboola trending widget widgets comment comments "
     "commentlist respond disqus replies reactions discussion feedback copyright disclaimer legal skip hidden tags tagcloud shoutbox".split()
 )
+#: Words beside them in a name that say where the furniture stands or what it is made of.
+PLACES = frozenset("left right top bottom box block wrap wrapper container area section sections list inner outer bar primary secondary content panel item items group main site page region zone holder links 1 2 3".split())
+#: Words before them that say that a part only knows of furniture.
+MENTIONS = frozenset("has have with without no not is hide show open close closed enable enabled disable disabled before after under above below inline allow".split())
 #: Headers of the article itself stand inside these.
 ARTICLE = frozenset(("article", "main"))
+PARAGRAPH = frozenset("p pre td blockquote li dd figcaption h1 h2 h3 h4 h5 h6".split())
+#: What a container's score is multiplied with if its class or id mentions furniture.
+LOWERED = 0.5
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-HINT = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
+#: Attributes in turn, each with its value, so that nothing inside a quoted value counts as one.
+ATTRIBUTE = re.compile(r"""([^\s"'=/>][^\s=/>]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>][^\s>]*))?|"[^"]*"?|'[^']*'?""")
+HINTS = frozenset("class id role hidden aria-hidden style".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
 
 
 class Node:
-    __slots__ = ("commas", "cut", "kept", "links", "parent", "points", "size", "tag")
+    __slots__ = ("commas", "cut", "kept", "links", "lowered", "owner", "parent", "points", "size", "suspect", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut, self.kept = tag, parent, cut, False
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.cut, self.suspect, self.kept, self.lowered = tag, parent, False, False, False, False
+        self.owner: Node = self if parent is None or tag in BLOCK else parent.owner  # the block that the text belongs to
         self.points, self.size, self.links, self.commas = 0.0, 0, 0, 0
 
 
-def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: within an article, where a header holds the title."""
-    if tag in FURNITURE or tag == "header" and not inside:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    for m in HINT.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in ("article", "main"):
-            words = {w.lower() for w in HUMP.split(value)}
-            if found := words & WORDS:
-                return not (inside and found <= {"header"})
-    return False
+def name_says(value: str) -> tuple[set[str], bool]:
+    """Words of a class or id that name furniture as the thing itself, and whether a word mentions any."""
+    named, mentions = set(), False
+    for token in value.split():
+        words = [w.lower() for w in HUMP.split(token) if w]
+        if WORDS.isdisjoint(words):
+            continue
+        mentions = True
+        while len(words) > 1 and words[-1] in PLACES:
+            words.pop()
+        if words[-1] in WORDS and MENTIONS.isdisjoint(words):
+            named.add(words[-1])
+    return named, mentions
 
 
-def extract(page: str) -> str:
-    """The main text: one line for each block, in page order."""
-    root = Node("#root", None, False)
-    here, inside = root, 0
-    block = [0]
-    order: list[Node] = [root]
-    texts: list[tuple[Node, int, str, int]] = []  # node, block number, text, in a link
-    links = 0
-    at = 0
-
-    def add(text: str) -> None:
-        if text and not here.cut:
-            texts.append((here, block[0], text, links))
-
-    def close(node: Node) -> Node:
-        nonlocal inside, links
-        if node.tag in BLOCK:
-            block[0] += 1
-        if node.tag in ARTICLE:
-            inside -= 1
-        if node.tag == "a":
-            links -= 1
-        return node.parent
-
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            continue
-        if m[2] or m[5]:
-            node = here
-            while node is not root and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = root  # a stray end tag of a phrase doesn't close a block
-                    break
-                node = node.parent
-            if node is not root:
-                while here is not node:
-                    here = close(here)
-                here = close(here)
-            elif tag in BLOCK:
-                block[0] += 1
-            continue
-        attributes = m[4] if m[3] else m[7] or ""
-        if tag in BLOCK:
-            block[0] += 1
-            node = here
-            while node is not root and node.tag != "p" and (node.tag not in BLOCK):
-                node = node.parent
-            if node.tag == "p":
-                while here is not node:
-                    here = close(here)
-                here = close(here)
-        if tag in IMPLIED:
-            node = here
-            while node is not root and node.tag not in FENCE.get(tag, ()) and node.tag not in IMPLIED[tag]:
-                node = node.parent
-            while node is not root and node.tag in IMPLIED[tag]:
-                while here is not node:
-                    here = close(here)
-                here = node = close(here)
-        if tag in VOID:
-            if tag == "br":
-                add(" ")
+def judge(node: Node, attributes: str, inside: bool) -> None:
+    """Marks furniture: cut if that is proved, suspect if a name says so, lowered if one mentions it. inside: within an article, where a header holds the title."""
+    if node.tag in FURNITURE or node.tag == "header" and not inside:
+        node.cut = True
+        return
+    if not attributes or node.tag in ("html", "body"):
+        return
+    seen = set()
+    for m in ATTRIBUTE.finditer(attributes):
+        name = (m[1] or "").lower()
+        if name not in HINTS or name in seen:
             continue
-        if tag in RAW:
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        here = Node(tag, here, here.cut or _is_furniture(tag, attributes, inside > 0))
-        order.append(here)
-        if tag in ARTICLE:
-            inside += 1
-        if tag == "a":
-            links += 1
-    add(page[at:])
-    if not texts:
-        return ""
+        seen.add(name)
+        value = html.unescape((m[2] or "").strip("\"'"))
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name == "style" and HIDDEN.search(value):
+            node.cut = True
+        elif name in ("class", "id") and node.tag not in ARTICLE:
+            named, mentions = name_says(value)
+            node.suspect |= bool(named - ({"header"} if inside else set()))
+            node.lowered |= mentions
+
+
+class Tree:
+    """Nodes in page order, and the pieces of text: node, number of the block, text, whether in a link."""
+
+    def __init__(self, page: str):
+        root = Node("#root", None)
+        self.order, self.texts = [root], []
+        stack, blocks = [root], [0]  # open elements; places of those that are blocks
+        open_at: dict[str, list[int]] = {}  # places of the open elements of each name
+        number = links = inside = at = 0
+
+        def close_to(place: int) -> None:
+            nonlocal number, links, inside
+            while len(stack) > place:
+                node = stack.pop()
+                open_at[node.tag].pop()
+                if node.tag in BLOCK:
+                    blocks.pop()
+                    number += 1
+                inside -= node.tag in ARTICLE
+                links -= node.tag == "a"
+
+        last = lambda tags: max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+        add = lambda text: text and self.texts.append((stack[-1], number, text, links > 0))
+        while m := TAG.search(page, at):
+            add(page[at : m.start()])
+            at = m.end()
+            tag = (m[3] or m[6] or "").lower()
+            if not tag:
+                continue
+            if m[2] or m[5]:
+                place = last((tag,))
+                # a stray end tag of a phrase doesn't close a block
+                if place and (tag in BLOCK or place > blocks[-1]):
+                    close_to(place)
+                elif tag in BLOCK:
+                    number += 1
+                continue
+            attributes = m[4] if m[3] else m[7] or ""
+            if tag in BLOCK:
+                number += 1
+                if stack[blocks[-1]].tag == "p":
+                    close_to(blocks[-1])
+            if tag in IMPLIED:
+                fence = last(FENCE.get(tag, ()))
+                while (place := last(IMPLIED[tag])) > fence:
+                    close_to(place)
+            if tag in VOID:
+                if tag == "br":
+                    add(" ")
+                continue
+            if tag in RAW:
+                if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
+                    end = RAW_END[tag].search(page, at)
+                    at = end.end() if end else len(page)
+                continue
+            node = Node(tag, stack[-1])
+            judge(node, attributes, inside > 0)
+            open_at.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append(node)
+            self.order.append(node)
+            inside += tag in ARTICLE
+            links += tag == "a"
+        add(page[at:])
 
+
+RAW_END = {tag: re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+
+
+def main_lines(tree: Tree, suspects: bool) -> list[str]:
+    """The blocks of the main text; suspects says whether parts that are named like furniture are cut."""
+    order = tree.order
+    holds = set()  # what the article stands in isn't furniture, whatever its name
+    for n in reversed(order):
+        if n.parent is not None and (n.tag in ARTICLE and not n.cut or id(n) in holds):
+            holds.add(id(n.parent))
+    gone = set()
+    for n in order:
+        n.kept, n.points, n.size, n.links, n.commas = False, 0.0, 0, 0, 0
+        if n.cut or suspects and n.suspect and id(n) not in holds or id(n.parent) in gone:
+            gone.add(id(n))
+    texts = [t for t in tree.texts if id(t[0]) not in gone]
     # points: each paragraph's own, passed on in falling shares
+    own: dict[int, list] = {}
     for node, _, text, in_link in texts:
-        size, commas = len(" ".join(text.split())), text.count(",")
-        owner = node
-        while owner is not None and owner.tag not in BLOCK and owner is not root:
-            owner = owner.parent
-        owner.points += commas  # until the sizes are known
-        up = owner
-        while up is not None:
-            up.size += size
-            up.links += size if in_link else 0
-            up = up.parent
-        owner.commas += size
-    own = [n for n in order if n.commas and not n.cut]
-    earned = {id(n): 1 + n.points + min(n.commas / 100, 3) for n in own}
-    for n in order:
-        n.points = 0.0
-    for n in own:
-        paragraph = n.tag in ("p", "pre", "td", "blockquote", "li", "dd", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6")
-        up, level = (n.parent if paragraph else n), 0
-        while up is not None and up is not root and level < 6:
-            up.points += earned[id(n)] / (1 if level == 0 else 2 if level == 1 else 3 * level)
+        size = len(" ".join(text.split()))
+        n = node.owner
+        n.size += size
+        n.links += size if in_link else 0
+        x = own.setdefault(id(n), [n, 0, 0])
+        x[1] += size
+        x[2] += text.count(",")
+    for n in reversed(order):
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.links += n.links
+    for n, size, commas in own.values():
+        if not size:
+            continue
+        earned = 1 + commas + min(size / 100, 3)
+        up, level = (n.parent if n.tag in PARAGRAPH else n), 0
+        while up is not None and up.parent is not None and level < 6:
+            up.points += earned / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
 
     def score(n: Node) -> float:
-        bonus = 1.25 if n.tag in ARTICLE else 1.0
-        return bonus * n.points * (1 - n.links / n.size) if n.size else 0.0
+        return (1.25 if n.tag in ARTICLE else 1.0) * (LOWERED if n.lowered else 1.0) * n.points * (1 - n.links / n.size) if n.size else 0.0
 
-    candidates = [n for n in order if n.points and not n.cut]
+    candidates = [n for n in order if n.points and id(n) not in gone]
     if not candidates:
-        root.kept = True
+        order[0].kept = True
     else:
         best = max(candidates, key=score)
         wide = best
@@ -206,28 +233,33 @@ def extract(page: str) -> str:
         for n in order:
             if n is best:
                 first = False
-            elif n.parent is best.parent and not n.cut and n.size:
+            elif n.parent is best.parent and id(n) not in gone and n.size:
                 dense = n.links / n.size
                 prose = n.tag in ("p", "blockquote", "pre") and dense < 0.25 or n.tag in ("h1", "h2") and first and best.tag not in ARTICLE
                 if n.tag in BLOCK and (score(n) >= threshold and dense < 0.5 or prose):
                     n.kept = True
+    for n in order:
+        n.kept = n.kept or n.parent is not None and n.parent.kept
     lines: list[str] = []
     piece: list[str] = []
-    last = -1
+    before = -1
     for node, number, text, _ in texts:
-        up = node
-        while up is not None and not up.kept:
-            up = up.parent
-        if up is None:
+        if not node.kept:
             continue
-        if number != last and piece:
+        if number != before and piece:
             lines.append("".join(piece))
             piece = []
-        last = number
+        before = number
         piece.append(text)
     lines.append("".join(piece))
     clean = (" ".join(html.unescape(x).split()) for x in lines)
-    return "\n".join(x for x in clean if x)
+    return [x for x in clean if x]
+
+
+def extract(page: str) -> str:
+    """The main text: one line for each block, in page order."""
+    tree = Tree(page)
+    return "\n".join(main_lines(tree, True) or main_lines(tree, False))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

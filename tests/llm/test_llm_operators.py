@@ -4,6 +4,7 @@ import io
 import math
 import random
 import re
+import time
 import wave
 import zlib
 from collections import Counter
@@ -68,6 +69,74 @@ def test_html():
     assert html.extract("<p>" * 3000 + "x") == "x" and html.extract("<b>" * 2000 + "y") == "y"
 
 
+def test_html_scanning():
+    """Raw content, quoted values, names that only mention furniture, and parts that hold the article."""
+    assert html.extract('<article><p>Start, here.</p><script>var a = "<!--";</script><p>Rest of, page.</p></article><footer>foot</footer></body>') == "Start, here.\nRest of, page."
+    assert html.extract('<div><p title="a hidden gem">Seen, here.</p><p data-x="class=nav">And, here.</p><p hidden>Not, here.</p></div>') == "Seen, here.\nAnd, here."
+    assert html.extract('<div class="wrap has-sidebar"><p>Main, text.</p></div>') == "Main, text."
+    assert html.extract('<article><div class="search-results"><p>One, two.</p></div><div class="newsletter-box"><p>Sign, up.</p></div></article>') == "One, two."
+    assert html.extract('<div class="sidebar-right"><article><p>Text, of it.</p></article></div><div class="sidebar"><p>Side, text, too.</p></div>') == "Text, of it."
+    assert html.extract('<div id="comments"><p>All, there, is.</p></div>') == "All, there, is."
+    assert html.extract('<article><p>A, b.</p></article><div class="reader-comments"><p>So, many, words, by, readers, and, more, of, them.</p></div>') == "A, b."
+    assert html.extract("<article><p>x &lt;p&gt; y<!-- <p>no</p> --></p><textarea><p>no</p></textarea><title>no</title></article>") == "x <p> y"
+    assert html.extract("<svg/><p>a</p><math><p>no</p></math><style>p</stylex></style><p>b</p>") == "a\nb"
+
+
+def plain_blocks(tree):
+    """Blocks of a nested list (name, children or text), by recursion: text is cut wherever a block begins or ends."""
+    out, now = [], []
+
+    def flush():
+        if text := " ".join("".join(now).split()):
+            out.append(text)
+        now.clear()
+
+    def walk(node):
+        name, children = node
+        if name in html.BLOCK:
+            flush()
+        for c in children:
+            if isinstance(c, str):
+                now.append(c)
+            else:
+                walk(c)
+        if name in html.BLOCK:
+            flush()
+
+    walk(tree)
+    flush()
+    return out
+
+
+def test_html_against_a_tree():
+    """Random trees of blocks and phrases, written out with all their end tags and read back, furniture aside."""
+    rng = random.Random(7)
+
+    def make(depth):
+        kids = []
+        for _ in range(rng.randrange(1, 5)):
+            if depth > 4 or rng.random() < 0.4:
+                kids.append(rng.choice(["word, ", " more text ", "x&amp;y", "é\n", " "]))
+            else:
+                kids.append((rng.choice(["div", "section", "b", "i", "span", "blockquote", "ul"]), make(depth + 1)))
+        return kids
+
+    write = lambda node: f"<{node[0]} title='> \"'>" + "".join(c if isinstance(c, str) else write(c) for c in node[1]) + f"</{node[0]}>"
+    for _ in range(200):
+        tree = ("article", make(0))
+        noise = rng.choice(["<nav>a, b</nav>", "<footer>c</footer>", "<div class=ad>d, e</div>", "<form><p>f</p></form>", "<script>'<p>'</script>"])
+        want = [x.replace("&amp;", "&") for x in plain_blocks(tree)]
+        assert html.extract(noise + write(tree) + noise) == "\n".join(want)
+
+
+def test_html_takes_linear_time():
+    """Deep nesting, stray tags and open phrases: twice as much takes about twice as long."""
+    for unit in ("<div>a", "</b>", "</i><b>", "<p><b>x", "<li>", "</td>x", "<a href='"):
+        began = time.time()
+        html.extract("<i>" + unit * 50_000)
+        assert time.time() - began < 5, unit
+
+
 def test_html_frame(spark):
     frame = spark.createDataFrame([(1, None, "a"), (2, "<p>hi</p>", "b"), (2, "<p>hi</p>", "b"), (3, "", None)], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html.extract_main_text(frame).collect()) == [(1, ""), (2, "hi"), (2, "hi"), (3, "")]
