@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines are compared without case and spaces around them. Equal lines collapse first, by hash, to the place of their earliest
-occurrence. Two different lines within one edit are found from threshold-plus-one segments: of the two halves that the shorter
+Lines are compared by their letters and digits, without case, punctuation and spaces. Equal lines collapse first, by hash, to the
+place of their earliest occurrence. Two different lines within one edit are found from threshold-plus-one segments: of the two halves that the shorter
 line splits into, the edit spares one, so the other line has it at its beginning or end. Each line therefore stands in the index
 under its own length's halves, and probes the halves of its own length and of one less. Only lines that meet another one
 have their text fetched, and each pair is verified by a banded bit-parallel edit distance.
@@ -12,13 +12,15 @@ group holding lines that agree everywhere but in one small part, so their pairs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keyed_join, materialize, shared_rows
 
-#: Lines with fewer characters are compared for equality only.
+#: Letters and digits for which one edit may differ: shorter lines are compared for equality only, since one edit is more than a twentieth of them.
 LEAST = 20
+#: What lines are compared without: ASCII marks and spaces, and the no-break space.
+MARKS = "".join(chr(c) for c in (*range(9, 14), *range(32, 127), 160) if not chr(c).isalnum())
 #: Lines of a group that are paired directly; larger groups are split by finer parts, so many at a time.
 DIRECT = 32
 PARTS = 16
@@ -30,8 +32,8 @@ SCALE = 2**32
 
 
 def normal(line: Column) -> Column:
-    """Lower case, without spaces around."""
-    return F.trim(F.lower(line))
+    """Letters and digits in lower case: everything but MARKS."""
+    return F.translate(F.lower(line), MARKS, "")
 
 
 def characters(text: Column) -> Column:
@@ -89,9 +91,14 @@ def _advance(s: Column, i: Column, d0: Column, m: Column, threshold: int, width:
     )
 
 
+def _order(id_col: str) -> Column:
+    """Ids as longs; null becomes the largest one, so it comes last."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, norm) of every line that isn't blank; null ids come last."""
-    split = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    """(id, no, norm) of every line with a letter or digit; null ids come last."""
+    split = docs.select(_order(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     return split.select("id", "no", normal(F.col("line")).alias("norm")).where("norm != ''")
 
 
@@ -103,7 +110,7 @@ def _identity() -> list[Column]:
     return [F.xxhash64("norm").alias("h"), F.hash("norm").alias("m"), F.char_length("norm").alias("len")]
 
 
-def _halves() -> list[Column]:
+def _halves(least: int) -> list[Column]:
     """Keys of the line's own halves and of the halves that a line one shorter would have; null for short lines."""
     out = []
     for k, base in enumerate((F.col("len"), F.col("len") - 1)):
@@ -111,13 +118,13 @@ def _halves() -> list[Column]:
         suffix = F.substring(F.col("norm"), F.col("len") - (base - half) + 1, base - half)
         prefix = F.substring(F.col("norm"), F.lit(1), half)
         for i, part in enumerate((suffix, prefix)):
-            out.append(F.when((base >= LEAST), F.xxhash64(part, base, F.lit(i))).alias(f"k{2 * k + i}"))
+            out.append(F.when(base >= least, F.xxhash64(part, base, F.lit(i))).alias(f"k{2 * k + i}"))
     return out
 
 
-def _counted(entries: DataFrame) -> DataFrame:
-    """Entries whose key another one has, with the size of the group."""
-    return entries.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+def _counted(entries: DataFrame, label: str) -> DataFrame:
+    """Entries whose key another line has, with the size of the group."""
+    return materialize(shared_rows(materialize(entries, label), "key", "h").drop("rep"), "meets")
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
@@ -140,15 +147,15 @@ def _split(entries: DataFrame) -> DataFrame:
     )
 
 
-def near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
     """Distinct lines (loc, h, m, len, n, near): where they occur first, how often, and whether an earlier one is within an edit."""
     lines = _lines(docs, id_col, text_col).select("norm", _loc(), *_identity())
-    keyed = lines.select("h", "m", "len", "loc", *_halves())
+    keyed = lines.select("h", "m", "len", "loc", *_halves(least))
     distinct = keyed.groupBy("h", "m", "len").agg(F.min("loc").alias("loc"), F.count(F.lit(1)).alias("n"), *(F.min(f"k{k}").alias(f"k{k}") for k in range(4)))
     distinct = materialize(distinct, "lines")
     halves = F.array(*(F.struct(F.col(f"k{k}").alias("key"), F.lit(k >= 2).alias("longer"), F.lit(k % 2).alias("side")) for k in range(4)))
     entries = distinct.where("k0 is not null or k2 is not null").select("h", F.explode(halves).alias("e")).select("e.key", "h", "e.longer", "e.side").where("key is not null")
-    meets = materialize(_counted(entries), "meets")
+    meets = _counted(entries, "halves")
 
     # texts of the lines that meet another one, by the place of their first occurrence
     wanted = distinct.join(meets.select("h").distinct(), "h", "left_semi").select("h", "m", "loc")
@@ -156,7 +163,7 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = places.select("h", "m", "loc", "id", (F.col("loc") - F.col("id").cast("decimal(38,0)") * F.lit(SCALE).cast("decimal(10,0)")).cast("int").alias("no"))
     by_doc = materialize(places.groupBy("id").agg(F.collect_list(F.struct("no", "h", "m", "loc")).alias("places")), "places")
     few = by_doc.agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ROWS
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.split(text_col, "\n").alias("split"))
+    source = docs.select(_order(id_col).alias("id"), F.split(text_col, "\n").alias("split"))
     fetched = source.join(F.broadcast(by_doc) if few else by_doc, "id").select("split", F.explode("places").alias("p"))
     fetched = fetched.select("p.h", "p.m", "p.loc", normal(F.get("split", F.col("p.no"))).alias("norm")).where((F.xxhash64("norm") == F.col("h")) & (F.hash("norm") == F.col("m")))
     texts = materialize(fetched.dropDuplicates(["loc"]).withColumn("chars", characters(F.col("norm"))), "texts")
@@ -170,7 +177,7 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for depth in range(DEPTH):
         if hot.isEmpty():
             break
-        finer = materialize(_counted(_split(hot)), f"finer{depth}")
+        finer = _counted(_split(hot), f"finer{depth}")
         direct = finer if depth == DEPTH - 1 else finer.where(F.col("size") <= DIRECT)
         found = found.unionByName(_pairs(direct))
         hot = finer.where(F.col("size") > DIRECT).drop("size")
@@ -180,21 +187,29 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return distinct.select("loc", "h", "m", "len", "n").join(later, "loc", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Every row with its text without repeated lines, and ``n_lines``, ``n_dropped`` and ``dropped`` (their numbers).
 
-    A line goes if an earlier one (by id, then place) equals it but for case and spaces around, or, from 20 characters, is
-    within one edit of it so compared. Blank lines stay. Null and empty texts stay as
-    they are; rows of one id count as one document, so repeated rows keep the same lines; null ids come last; all other
-    columns pass unchanged; an empty table gives an empty frame. Ids are whole numbers.
+    A line goes if an earlier one (by id, then place) has the same letters and digits, whatever their case and what stands between
+    them, or, from ``least`` of them on, is within one edit of it so compared. Lines without a letter or digit stay. Null and empty
+    texts stay as they are; rows of one id count as one document, so repeated rows keep the same lines; rows without an id are
+    one document with the id 2**63 - 1, so they come last; all other columns pass unchanged and columns of those three names are
+    replaced; an empty table gives an empty frame. Ids are whole numbers.
     """
+    docs = docs.drop("n_lines", "n_dropped", "dropped")
     names = docs.columns
-    distinct = near_lines(docs.select(id_col, text_col), id_col, text_col)
+    distinct = near_lines(docs.select(id_col, text_col), id_col, text_col, least)
     drops = materialize(distinct.where("near or n > 1"), "drops")
     places = _lines(docs.select(id_col, text_col), id_col, text_col).select("id", "no", _loc(), *_identity())
-    gone = places.join(drops.select("h", "m", "len", F.col("loc").alias("first"), "near"), ["h", "m", "len"]).where(F.col("near") | (F.col("loc") != F.col("first")))
+    firsts = drops.select("h", "m", "len", F.col("loc").alias("first"), "near", "n")
+    few = firsts.count() <= BROADCAST_ROWS
+    if few:
+        gone = places.join(F.broadcast(firsts.drop("n")), ["h", "m", "len"])
+    else:
+        gone = keyed_join(materialize(places, "occurrences"), materialize(firsts, "firsts"), ["h", "m", "len"])
+    gone = gone.where(F.col("near") | (F.col("loc") != F.col("first")))
     gone = gone.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("_gone"))
-    source = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"))
+    source = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), _order(id_col).alias("id"))
     text = F.col(f"_{names.index(text_col)}")
     joined = source.join(gone, "id", "left").withColumn("_split", F.split(text, "\n"))
     # rows of one id may have texts of different length: only their own lines count

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .audio import op6_audio_fingerprints
 from .decontaminate import op9_benchmark_decontamination
 from .html import op2_html_extraction
-from .lines import op3_line_dedup
+from .lines import MARKS, op3_line_dedup
 from .lm import op10_lm_scoring
 from .packing import op5_best_fit_packing
 from .passages import op7_substring_dedup
@@ -29,7 +29,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-n AS (SELECT doc_id, no, line, trim(lower(line)) AS norm FROM l),
+n AS (SELECT doc_id, no, line, translate(lower(line), '""" + MARKS.replace("'", "''") + """', '') AS norm FROM l),
 f AS (SELECT norm, length(norm) AS len, min(doc_id * 4294967296 + no) AS loc FROM n WHERE norm <> '' GROUP BY norm),
 p AS (SELECT a.norm AS x, b.norm AS y, a.loc AS lx, b.loc AS ly, a.len AS n FROM f a JOIN f b ON b.len BETWEEN a.len AND a.len + 1 AND a.len >= 20 AND a.norm <> b.norm
       AND (left(a.norm, a.len // 2) = left(b.norm, a.len // 2) OR right(a.norm, a.len - a.len // 2) = right(b.norm, a.len - a.len // 2))),

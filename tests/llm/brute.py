@@ -84,7 +84,7 @@ def edit_distance(a, b):
 
 
 def normal(line):
-    return line.lower().strip(" ")
+    return "".join(c for c in line.lower() if c.isalnum() or ord(c) > 160 or ord(c) in range(9) or ord(c) in (*range(14, 32), *range(127, 160)))
 
 
 def dropped_lines(docs, least=20):
