@@ -32,13 +32,27 @@ def fill_gaps(records: DataFrame, scanned: DataFrame, keys: list[str]) -> DataFr
     return records.unionByName(scanned.join(records.select(*keys).distinct(), keys, "left_anti"))
 
 
-def last_range(points: DataFrame, ranges: DataFrame, at: str, begin: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Each point with the columns of the last range that begins at or before it (by group); of equal beginnings the largest row counts."""
-    by = by or []
-    marks = ranges.groupBy(*by, begin).agg(F.max(F.struct(*columns)).alias("_range")).withColumnRenamed(begin, at).withColumn("_mark", F.lit(0))
+def last_range(points: DataFrame, ranges: DataFrame, at: str, begin: str, columns: list[str], by: list[str] | None = None, buckets: int = 200) -> DataFrame:
+    """Each point with the columns of the last range that begins at or before it (by group); of equal beginnings the largest row counts.
+
+    Without groups, numbers are dealt into so many buckets of about the same number of points, each of which starts with the last range of
+    the buckets before it: a row for each bucket.
+    """
+    marks = ranges.groupBy(*(by or []), begin).agg(F.max(F.struct(*columns)).alias("_range")).withColumnRenamed(begin, at).withColumn("_mark", F.lit(0))
     both = points.withColumn("_mark", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    seen = Window.partitionBy(*by).orderBy(at, "_mark").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_range", F.last("_range", ignorenulls=True).over(seen)).where("_mark = 1")
+    group = by or ["_bucket"]
+    if not by:
+        cuts = sorted(set(points.approxQuantile(at, [k / buckets for k in range(1, buckets)], 0.2 / buckets)))
+        bucket = lambda x: F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(x)))
+        both = both.withColumn("_bucket", bucket(at))
+        held = marks.groupBy(bucket(at).alias("_bucket")).agg(F.max_by("_range", at).alias("_own"))
+        every = points.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_bucket")).join(F.broadcast(held), "_bucket", "left")
+        earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.select("_bucket", F.last("_own", ignorenulls=True).over(earlier).alias("_carried"))
+        both = both.join(F.broadcast(carried), "_bucket")
+    seen = Window.partitionBy(*group).orderBy(at, "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_range", ignorenulls=True).over(seen)
+    found = both.withColumn("_range", last if by else F.coalesce(last, "_carried")).where("_mark = 1")
     return found.select(*points.columns, *(F.col(f"_range.{c}").alias(c) for c in columns))
 
 

@@ -27,11 +27,11 @@ def colour_space_decisions(spaces: DataFrame, relaxed: bool) -> DataFrame:
         .when((family == "Indexed") & (length < 4), "8.6.6.3").when(family.isin(*SPECIAL) & (length < 4), "8.6.6.4")
     )
     needs = (
-        F.when(F.col("clause") == "8.6", F.when(bare, F.concat(F.lit("/"), family, F.lit(" is not a recognized standard colour space"))).otherwise("Colour space array must contain at least a family name"))
-        .when(F.col("clause") == "8.6.5", F.concat(F.lit("/"), family, F.lit(" requires a parameter dictionary containing /WhitePoint"))).when(F.col("clause") == "8.6.5.5", "/ICCBased requires an ICC profile stream")
-        .when(F.col("clause") == "8.6.6.3", "/Indexed requires base, hival, and lookup table").otherwise(F.concat(F.lit("/"), family, F.lit(" requires names, alternateSpace, and tintTransform")))
+        F.when(F.col("clause") == "8.6", F.when(bare, F.concat(F.lit("no such colour space: "), family)).otherwise("an array without a family"))
+        .when(F.col("clause") == "8.6.5", F.concat(family, F.lit(" without its parameters"))).when(F.col("clause") == "8.6.5.5", "ICCBased without a profile")
+        .when(F.col("clause") == "8.6.6.3", "Indexed without base, size and table").otherwise(F.concat(family, F.lit(" without names, other space and function")))
     )
-    put = F.when(length == 0, "Substituted /DeviceRGB for empty colour space array").when(bare, F.concat(F.lit("Substituted /DeviceRGB for unrecognized /"), family)).otherwise(F.concat(F.lit("Substituted /DeviceRGB for malformed /"), family))
+    put = F.when(length == 0, "read an empty array as DeviceRGB").when(bare, F.concat(F.lit("read the unknown "), family, F.lit(" as DeviceRGB"))).otherwise(F.concat(F.lit("read the incomplete "), family, F.lit(" as DeviceRGB")))
     out = spaces.withColumn("clause", clause).where("clause is not null")
     return out.select("file_id", "obj_num", F.lit(1 if relaxed else 2).alias("severity"), "clause", (put if relaxed else needs).alias("action"))
 
@@ -39,8 +39,8 @@ def colour_space_decisions(spaces: DataFrame, relaxed: bool) -> DataFrame:
 def write_losses(files: DataFrame) -> DataFrame:
     """files: (file_id, access, p, signatures). Decisions (severity, clause, found) about what a written copy does not carry."""
     denied = F.filter(F.array(*(F.when(~bit(F.col("p"), b), F.lit(n)) for b, n in NEEDED)), lambda x: x.isNotNull())
-    rights = F.when((F.col("access") == "user") & F.col("p").isNotNull() & (F.size(denied) > 0), F.concat(F.lit("the document was opened with user access and its /P ("), F.col("p").cast("string"), F.lit(") permits no "), F.array_join(denied, " and no ")))
-    signed = F.when(F.col("signatures") > 0, F.concat(F.lit("the source carried "), F.col("signatures").cast("string"), F.lit(" digital signature(s)")))
+    rights = F.when((F.col("access") == "user") & F.col("p").isNotNull() & (F.size(denied) > 0), F.concat(F.lit("opened as a user, whom /P "), F.col("p").cast("string"), F.lit(" denies "), F.array_join(denied, ", ")))
+    signed = F.when(F.col("signatures") > 0, F.concat(F.lit("signatures that a copy does not keep: "), F.col("signatures").cast("string")))
     rows = F.array(F.struct(F.lit("7.6.4.2").alias("clause"), rights.alias("found")), F.struct(F.lit("12.8").alias("clause"), signed.alias("found")))
     return files.select("file_id", F.explode(rows).alias("r")).select("file_id", F.lit(2).alias("severity"), "r.*").where("found is not null")
 
@@ -82,7 +82,10 @@ def code_texts(codes: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     both = codes.withColumn("_mark", F.lit(1)).unionByName(marks, allowMissingColumns=True)
     seen = Window.partitionBy(*by, "width").orderBy("code", "_mark").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_range", F.last("_range", ignorenulls=True).over(seen)).where("_mark = 1")
-    text = F.when(F.col("code") <= F.col("_range.high"), F.concat(F.substring("_range.text", F.lit(1), F.char_length("_range.text") - 1), F.chr(F.ascii(F.right("_range.text", F.lit(1))) + F.col("code") - F.col("_range.low"))))
+    # characters of any plane: chr() of Spark knows Latin-1 only
+    point = F.ascii(F.right("_range.text", F.lit(1))) + F.col("code") - F.col("_range.low")
+    character = F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+    text = F.when(F.col("code") <= F.col("_range.high"), F.concat(F.substring("_range.text", F.lit(1), F.char_length("_range.text") - 1), character))
     return found.select(*codes.columns, text.alias("text"))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import write_table
+
 #: Depth limits of the walks (fixed values).
 PAGES, FORM, OUTLINE, NAMES, RESOLVE = 32, 64, 64, 32, 64
 OUTLINE_ITEMS = 100_000
@@ -37,9 +39,9 @@ def walk(nodes: DataFrame, depth: int, carried: dict[str, tuple[str, str]] | Non
     columns = "".join(f", {c}" for c in carried)
     return nodes.sparkSession.sql(f"""
         WITH RECURSIVE w (file_id, id, parent, depth, path, seen{columns}) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT n.file_id, n.id, n.parent, 0, lpad(CAST(n.pos AS STRING), 6, '0'), array(n.id){first} FROM {name} n WHERE n.parent IS NULL
+          SELECT n.file_id, n.id, n.parent, 0, lpad(CAST(n.pos AS STRING), 10, '0'), array(n.id){first} FROM {name} n WHERE n.parent IS NULL
           UNION ALL
-          SELECT n.file_id, n.id, n.parent, w.depth + 1, concat(w.path, '/', lpad(CAST(n.pos AS STRING), 6, '0')), array_append(w.seen, n.id){then}
+          SELECT n.file_id, n.id, n.parent, w.depth + 1, concat(w.path, '/', lpad(CAST(n.pos AS STRING), 10, '0')), array_append(w.seen, n.id){then}
           FROM w JOIN {name} n ON n.file_id = w.file_id AND n.parent = w.id WHERE w.depth < {depth} AND NOT array_contains(w.seen, n.id)
         ) SELECT file_id, id, parent, depth, path{columns} FROM w""")
 
@@ -88,14 +90,19 @@ def ancestors(nodes: DataFrame, depth: int = PAGES) -> DataFrame:
     return walk(nodes, depth, {"chain": ("CAST(array() AS ARRAY<BIGINT>)", "array_append(w.chain, CAST(w.id AS BIGINT))")})
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = RESOLVE, view: str = "pagefold_edges") -> DataFrame:
-    """Objects that references lead to from the roots, found by written-out rounds of a semi-naive closure in one query."""
-    _without_row_limit(edges)
-    e, r = _view(edges, view), _view(roots, f"{view}_roots")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE w (file_id, id, depth, seen) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT file_id, id, 0, array(id) FROM {r}
-          UNION ALL
-          SELECT e.file_id, e.dst, w.depth + 1, array_append(w.seen, e.dst) FROM w JOIN {e} e ON e.file_id = w.file_id AND e.src = w.id
-          WHERE w.depth < {depth} AND NOT array_contains(w.seen, e.dst)
-        ) SELECT file_id, id, min(depth) AS depth FROM w GROUP BY file_id, id""")
+def reachable(edges: DataFrame, roots: DataFrame, depth: int = RESOLVE) -> DataFrame:
+    """(file_id, id, depth) of the objects that references lead to from the roots, each once.
+
+    A semi-naive closure: a round joins only the objects that the round before found, and leaves out what is known; every round is a
+    written table, and the rounds end when one finds nothing.
+    """
+    edges = write_table(edges.select("file_id", "src", "dst").distinct(), "edges")
+    new = write_table(roots.select("file_id", "id").distinct().withColumn("depth", F.lit(0)), "reached")
+    known = new
+    for k in range(1, depth + 1):
+        ends = new.select("file_id", F.col("id").alias("src")).join(edges, ["file_id", "src"]).select("file_id", F.col("dst").alias("id")).distinct()
+        new = write_table(ends.join(known, ["file_id", "id"], "left_anti").withColumn("depth", F.lit(k)), "reached")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    return known

@@ -103,12 +103,14 @@ def largest_containers(spark, d):
     return census.members_of(table(spark, d, "orders", F.col("o_custkey").alias("container")), "container", 20)
 
 
-DECISIONS = "d AS (SELECT user_id AS file_id, event_id AS seq, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS severity FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND event_id % 7 = 0)"
+# every order line is a decision about its order, but for open ones: returned is a violation, accepted a repair
+DECISIONS = "d AS (SELECT l_orderkey AS file_id, l_partkey AS seq, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS severity FROM lineitem WHERE l_returnflag IN ('R', 'A') OR l_linestatus = 'F')"
 
 
 def decisions(spark, d) -> DataFrame:
-    severity = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
-    return table(spark, d, "events").where(F.col("event_type").isin("error", "purchase", "signup") & (F.col("event_id") % 7 == 0)).select(F.col("user_id").alias("file_id"), F.col("event_id").alias("seq"), severity.alias("severity"))
+    severity = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus").where(F.col("l_returnflag").isin("R", "A") | (F.col("l_linestatus") == "F"))
+    return lines.select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("seq"), severity.alias("severity"))
 
 
 @query(f"WITH {DECISIONS} SELECT file_id, count(*) FILTER (severity = 0) AS ambiguity, count(*) FILTER (severity = 1) AS repaired, count(*) FILTER (severity = 2) AS violation FROM d GROUP BY file_id")
@@ -126,9 +128,9 @@ def strict_reject(spark, d):
     return census.rejected(decisions(spark, d))
 
 
-@query(f"WITH {DECISIONS} SELECT DISTINCT user_id AS file_id FROM events WHERE user_id NOT IN (SELECT file_id FROM d)")
+@query(f"WITH {DECISIONS} SELECT o_orderkey AS file_id FROM orders WHERE o_orderkey NOT IN (SELECT file_id FROM d)")
 def conforming_files(spark, d):
-    return census.conforming(table(spark, d, "events", F.col("user_id").alias("file_id")).distinct(), decisions(spark, d))
+    return census.conforming(table(spark, d, "orders", F.col("o_orderkey").alias("file_id")), decisions(spark, d))
 
 
 @query("""WITH k AS (SELECT event_type AS subtype, unnest(json_keys(props)) AS key FROM events), c AS (SELECT subtype, key, count(*) AS n FROM k GROUP BY subtype, key)
@@ -496,7 +498,7 @@ def tree(spark, d) -> DataFrame:
     return root.unionByName(region).unionByName(nation).unionByName(supplier)
 
 
-RECURSIVE = "w AS (SELECT id, parent, 0 AS depth, lpad(CAST(pos AS VARCHAR), 6, '0') AS path, {0} FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, w.depth + 1, w.path || '/' || lpad(CAST(t.pos AS VARCHAR), 6, '0'), {1} FROM w JOIN t ON t.parent = w.id)"
+RECURSIVE = "w AS (SELECT id, parent, 0 AS depth, lpad(CAST(pos AS VARCHAR), 10, '0') AS path, {0} FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, w.depth + 1, w.path || '/' || lpad(CAST(t.pos AS VARCHAR), 10, '0'), {1} FROM w JOIN t ON t.parent = w.id)"
 
 
 @query(f"WITH RECURSIVE {TREE}, {RECURSIVE.format('0 AS x', '0')} SELECT 0 AS file_id, id, depth, path FROM w WHERE id >= 1000")
@@ -692,7 +694,7 @@ def signature_ranges(spark, d):
 
 @query("""WITH s AS (SELECT p_partkey AS obj_num, (['DeviceRGB', 'Strange', 'CalRGB', 'ICCBased', 'Indexed', 'Separation'])[p_partkey % 6 + 1] AS family, CASE WHEN p_partkey % 6 < 2 THEN NULL ELSE p_size % 5 END AS length FROM part),
 c AS (SELECT *, CASE WHEN length IS NULL AND family = 'Strange' THEN '8.6' WHEN length = 0 THEN '8.6' WHEN family = 'CalRGB' AND length < 2 THEN '8.6.5' WHEN family = 'ICCBased' AND length < 2 THEN '8.6.5.5' WHEN family = 'Indexed' AND length < 4 THEN '8.6.6.3' WHEN family = 'Separation' AND length < 4 THEN '8.6.6.4' END AS clause FROM s)
-SELECT 0 AS file_id, obj_num, 1 AS severity, clause, CASE WHEN length = 0 THEN 'Substituted /DeviceRGB for empty colour space array' WHEN length IS NULL THEN 'Substituted /DeviceRGB for unrecognized /' || family ELSE 'Substituted /DeviceRGB for malformed /' || family END AS action FROM c WHERE clause IS NOT NULL""")
+SELECT 0 AS file_id, obj_num, 1 AS severity, clause, CASE WHEN length = 0 THEN 'read an empty array as DeviceRGB' WHEN length IS NULL THEN 'read the unknown ' || family || ' as DeviceRGB' ELSE 'read the incomplete ' || family || ' as DeviceRGB' END AS action FROM c WHERE clause IS NOT NULL""")
 def colour_space_rules(spark, d):
     families = F.array(*map(F.lit, ("DeviceRGB", "Strange", "CalRGB", "ICCBased", "Indexed", "Separation")))
     kind = (F.col("p_partkey") % 6).cast("int")
@@ -702,8 +704,8 @@ def colour_space_rules(spark, d):
 
 @query("""WITH f AS (SELECT c_custkey AS file_id, CASE WHEN c_custkey % 2 = 0 THEN 'user' ELSE 'owner' END AS access, c_custkey % 4096 AS p, c_nationkey % 3 AS signatures FROM customer),
 n AS (SELECT *, list_filter([CASE WHEN p & 8 = 0 THEN 'modification' END, CASE WHEN p & 1024 = 0 THEN 'assembly' END, CASE WHEN p & 32 = 0 THEN 'annotation' END], lambda x: x IS NOT NULL) AS denied FROM f)
-SELECT file_id, 2 AS severity, '7.6.4.2' AS clause, 'the document was opened with user access and its /P (' || p || ') permits no ' || array_to_string(denied, ' and no ') AS found FROM n WHERE access = 'user' AND len(denied) > 0
-UNION ALL SELECT file_id, 2, '12.8', 'the source carried ' || signatures || ' digital signature(s)' FROM n WHERE signatures > 0""")
+SELECT file_id, 2 AS severity, '7.6.4.2' AS clause, 'opened as a user, whom /P ' || p || ' denies ' || array_to_string(denied, ', ') AS found FROM n WHERE access = 'user' AND len(denied) > 0
+UNION ALL SELECT file_id, 2, '12.8', 'signatures that a copy does not keep: ' || signatures FROM n WHERE signatures > 0""")
 def write_losses(spark, d):
     files = table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), F.when(F.col("c_custkey") % 2 == 0, "user").otherwise("owner").alias("access"), (F.col("c_custkey") % 4096).alias("p"), (F.col("c_nationkey") % 3).alias("signatures"))
     return normalize.write_losses(files)
@@ -716,10 +718,10 @@ def clone_objects(spark, d):
 
 
 @query("""WITH c AS (SELECT c_custkey AS code, c_nationkey AS font FROM customer), r AS (SELECT s_nationkey AS font, min(s_suppkey) * 10 AS low, min(s_suppkey) * 10 + 15 AS high FROM supplier GROUP BY s_nationkey)
-SELECT c.font, 2 AS width, c.code, CASE WHEN r.low IS NOT NULL THEN 'x' || chr(CAST(65 + c.code - r.low AS INT)) END AS text FROM c LEFT JOIN r ON c.font = r.font AND c.code BETWEEN r.low AND r.high""")
+SELECT c.font, 2 AS width, c.code, CASE WHEN r.low IS NOT NULL THEN 'x' || chr(CAST(CASE c.font % 3 WHEN 0 THEN 65 WHEN 1 THEN 19968 ELSE 128512 END + c.code - r.low AS INT)) END AS text FROM c LEFT JOIN r ON c.font = r.font AND c.code BETWEEN r.low AND r.high""")
 def cmap_texts(spark, d):
     codes = table(spark, d, "customer").select(F.col("c_nationkey").alias("font"), F.lit(2).alias("width"), F.col("c_custkey").alias("code"))
-    ranges = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("font")).agg((F.min("s_suppkey") * 10).alias("low")).select("font", F.lit(2).alias("width"), "low", (F.col("low") + 15).alias("high"), F.lit("xA").alias("text"))
+    ranges = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("font")).agg((F.min("s_suppkey") * 10).alias("low")).select("font", F.lit(2).alias("width"), "low", (F.col("low") + 15).alias("high"), F.when(F.col("font") % 3 == 0, "xA").when(F.col("font") % 3 == 1, "x一").otherwise("x😀").alias("text"))
     return normalize.code_texts(codes, ranges, ["font"])
 
 

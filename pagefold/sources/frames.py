@@ -1,22 +1,29 @@
 """Files to frames: one pass of the parser gives all rows of a file; a frame is a typed view of one kind of them.
 
 Input comes from ``binaryFile``, so any store that Spark reads will do and files are dealt over tasks by size. A kind that a query
-doesn't ask for isn't computed, and streams' bytes never leave the parser.
+doesn't ask for isn't computed, and streams' bytes never leave the parser. Rows leave it as Arrow batches with a struct for each kind.
+Where several kinds are wanted they are written once, a folder for each kind, so no file is parsed twice.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import document as doc
 from .objects import Stream, kind_of, plain
 from .reader import File, read
+from .tables import write_table
+
+#: Parsed rows that a task holds before it sends them on.
+ROWS_HELD = 50_000
 
 #: Schemas of the frames, without file_id.
 SCHEMAS: dict[str, str] = {
@@ -62,34 +69,79 @@ def schema_of(kind: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[kind])
 
 
+def _fitting(x: Any, t: pa.DataType) -> Any:
+    """A value of a damaged file as its column's type, or null."""
+    if x is None:
+        return None
+    if pa.types.is_struct(t):
+        return {f.name: _fitting(x.get(f.name), f.type) for f in t}
+    if pa.types.is_list(t):
+        return [_fitting(v, t.value_type) for v in x] if isinstance(x, (list, tuple)) else None
+    if pa.types.is_boolean(t):
+        return x if isinstance(x, bool) else None
+    if pa.types.is_integer(t):
+        return x if isinstance(x, int) and -(1 << t.bit_width - 1) <= x < 1 << t.bit_width - 1 else None
+    if pa.types.is_floating(t):
+        return float(x) if isinstance(x, (int, float)) and abs(x) < 1e308 else None
+    return str(x).encode("utf-8", "replace").decode()
+
+
+def _structs(rows: list[dict], t: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(rows, type=t)
+    except (pa.ArrowInvalid, pa.ArrowTypeError, UnicodeError, OverflowError, TypeError):
+        return pa.array([_fitting(r, t) for r in rows], type=t)
+
+
 def parsed(files: DataFrame, kinds: list[str], id_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(file_id, kind, row as JSON) of every wanted kind, in one pass over the files. A null content is an empty file."""
+    """(file_id, kind, a struct for each kind) in one pass over the files; only the struct of a row's kind is set. A null content is an empty file."""
     unknown = set(kinds) - set(ROWS)
     if unknown:
         raise ValueError(f"no such frames: {sorted(unknown)}")
     ordered = [k for k in ROWS if k in kinds]  # decisions last: other kinds may add some
+    schema = T.StructType([T.StructField("file_id", files.schema[id_col].dataType), T.StructField("kind", T.StringType()), *(T.StructField(k, schema_of(k)) for k in ordered)])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for file_id, content in zip(frame["file_id"], frame["content"], strict=True):
-                file = read(bytes(content) if content is not None else b"")
-                rows = [(file_id, k, json.dumps(row)) for k in ordered for row in ROWS[k](file)]
-                yield pd.DataFrame(rows, columns=["file_id", "kind", "row"])
+        def batch(ids: pa.Array, kind: str, at: list[int], rows: list[dict]) -> pa.RecordBatch:
+            n = len(rows)
+            structs = [_structs(rows, out.field(k).type) if k == kind else pa.nulls(n, out.field(k).type) for k in ordered]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, type=pa.int64())), pa.array([kind] * n, type=pa.string()), *structs], schema=out)
 
-    id_type = files.schema[id_col].dataType.simpleString()
-    source = files.select(F.col(id_col).alias("file_id"), F.col(content_col).alias("content"))
-    return source.mapInPandas(parse, f"file_id {id_type}, kind string, row string")
+        for part in batches:
+            ids, held, size = part.column(0), {k: ([], []) for k in ordered}, 0
+            for i, content in enumerate(part.column(1)):
+                file = read(content.as_py() or b"")
+                for k in ordered:
+                    new = list(ROWS[k](file))
+                    held[k][0].extend([i] * len(new))
+                    held[k][1].extend(new)
+                    size += len(new)
+                if size >= ROWS_HELD:
+                    yield from (batch(ids, k, *x) for k, x in held.items() if x[1])
+                    held, size = {k: ([], []) for k in ordered}, 0
+            yield from (batch(ids, k, *x) for k, x in held.items() if x[1])
+
+    return files.select(F.col(id_col).alias("file_id"), F.col(content_col).alias("content")).mapInArrow(parse, schema)
 
 
 def frame(rows: DataFrame, kind: str) -> DataFrame:
-    """One kind of parsed rows, typed."""
-    return rows.where(F.col("kind") == kind).select("file_id", F.from_json("row", schema_of(kind)).alias("r")).select("file_id", "r.*")
+    """One kind of parsed rows."""
+    return rows.where(F.col("kind") == kind).select("file_id", f"{kind}.*")
+
+
+def frames_of(files: DataFrame, kinds: list[str], id_col: str = "path", content_col: str = "content") -> dict[str, DataFrame]:
+    """Frames of (id, content) rows: one kind comes straight from the parser, several come from a table that it wrote."""
+    rows = parsed(files, kinds, id_col, content_col)
+    if len(set(kinds)) > 1:
+        rows = write_table(rows, "parsed", "kind")
+    return {k: frame(rows, k) for k in kinds}
 
 
 def read_pdf(spark: SparkSession, path: str, kinds: list[str]) -> dict[str, DataFrame]:
     """Frames of the files under a path."""
-    rows = parsed(spark.read.format("binaryFile").load(path), kinds)
-    return {k: frame(rows, k) for k in kinds}
+    return frames_of(spark.read.format("binaryFile").load(path), kinds)
 
 
 def is_pdf(content: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagefold.functions import dates, numbers, text
-from pagefold.operators import census, coverage, edits, layout, lookup, pages, trees
+from pagefold.operators import census, coverage, edits, layout, lookup, normalize, pages, trees
 
 
 def one(frame, *columns):
@@ -58,11 +58,24 @@ def test_lookup_edges(spark):
     points = spark.createDataFrame([(1,), (5,), (0,)], "page int")
     ranges = spark.createDataFrame([(1, "a"), (4, "b"), (4, "c")], "begin int, style string")
     assert sorted(one(lookup.last_range(points, ranges, "page", "begin", ["style"]), "page", "style"), key=str) == [(0, None), (1, "a"), (5, "c")]
+    # without groups no task sees all points: buckets give what a scan in order gives
+    many = spark.createDataFrame([(k * 7 % 1009,) for k in range(1009)], "page int")
+    begins = spark.createDataFrame([(k * k, str(k)) for k in range(3, 40)], "begin int, style string")
+    for buckets in (2, 10, 200):
+        found = dict(one(lookup.last_range(many, begins, "page", "begin", ["style"], buckets=buckets), "page", "style"))
+        assert found == {k: str(min(39, int(k**0.5))) if k >= 9 else None for k in range(1009)}
     boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 10.0, 0.0, 20.0, 10.0), (1, 3, 900.0, -5.0, 901.0, 900.0)], "page int, box_id int, x1 double, y1 double, x2 double, y2 double")
     areas = spark.createDataFrame([(1, 7, 5.0, 5.0, 10.0, 9.0), (1, 8, 899.0, 899.0, 950.0, 950.0)], "page int, area_id int, x1 double, y1 double, x2 double, y2 double")
     assert sorted(one(lookup.overlapping(boxes, areas, ["page"]), "box_id", "area_id")) == [(1, 7), (3, 8)]
 
 
+def test_code_texts_beyond_latin(spark):
+    codes = spark.createDataFrame([(1, 2, c) for c in (5, 0x10, 0x15, 0x30, 0x99)], "font int, width int, code int")
+    ranges = spark.createDataFrame([(1, 2, 0, 8, "é"), (1, 2, 0x10, 0x20, "一"), (1, 2, 0x30, 0x40, "f😀")], "font int, width int, low int, high int, text string")
+    found = dict(one(normalize.code_texts(codes, ranges, ["font"]), "code", "text"))
+    assert found == {5: "î", 0x10: "一", 0x15: "丅", 0x30: "f😀", 0x99: None}
+
+
 def test_layout_rules(spark):
     rows = [(0, 1, k, t, s, b, 72.0, y, 10.0) for k, (t, s, b, y) in enumerate([("Title", 24.0, False, 700.0), ("bold", 12.0, True, 680.0), ("x", 12.0, False, 676.0), ("y", 12.0, False, 640.0), ("z", 12.0, False, 640.0)])]
     spans = spark.createDataFrame(rows, "file_id int, page int, op_index int, text string, font_size double, is_bold boolean, x double, y double, width double")
@@ -93,6 +106,12 @@ def test_trees_end_at_cycles_and_limits(spark):
     assert sorted(r[0] for r in one(trees.walk(nodes, 1), "id")) == [1, 2]
     edges = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 2, 3)], "file_id int, src long, dst long")
     assert sorted(one(trees.reachable(edges, spark.createDataFrame([(0, 1)], "file_id int, id long")), "id", "depth")) == [(1, 0), (2, 1), (3, 2)]
+    # many paths to the same nodes, which are counted once
+    diamonds = spark.createDataFrame([(0, 3 * k + a, 3 * k + b) for k in range(25) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))], "file_id int, src long, dst long")
+    found = dict(one(trees.reachable(diamonds, spark.createDataFrame([(0, 0)], "file_id int, id long"), 60), "id", "depth"))
+    assert len(found) == 76 and found[75] == 50
+    far = spark.createDataFrame([(0, 1, None, 0), (0, 2, 1, 1_500_000), (0, 3, 1, 999_999)], "file_id int, id long, parent long, pos int")
+    assert [r[0] for r in sorted(one(trees.walk(far, 3), "id", "path"), key=lambda r: r[1])] == [1, 3, 2]
     assert {r[0] for r in one(trees.without_subtree(nodes, nodes.where("id = 2")), "id")} == {1, 8, 9}
 
 
