@@ -6,7 +6,7 @@ Rectangles meet through a grid of cells, so they are an equality join whose fan-
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlaps
@@ -32,6 +32,14 @@ def fill_gaps(records: DataFrame, scanned: DataFrame, keys: list[str]) -> DataFr
     return records.unionByName(scanned.join(records.select(*keys).distinct(), keys, "left_anti"))
 
 
+def _bucket(x: Column, cuts: list[float], low: int, high: int) -> Column:
+    """How many of the sorted cuts lie at or before x, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(x < cuts[middle], _bucket(x, cuts, low, middle)).otherwise(_bucket(x, cuts, middle + 1, high))
+
+
 def last_range(points: DataFrame, ranges: DataFrame, at: str, begin: str, columns: list[str], by: list[str] | None = None, buckets: int = 200) -> DataFrame:
     """Each point with the columns of the last range that begins at or before it (by group); of equal beginnings the largest row counts.
 
@@ -43,7 +51,7 @@ def last_range(points: DataFrame, ranges: DataFrame, at: str, begin: str, column
     group = by or ["_bucket"]
     if not by:
         cuts = sorted(set(points.approxQuantile(at, [k / buckets for k in range(1, buckets)], 0.2 / buckets)))
-        bucket = lambda x: F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(x)))
+        bucket = lambda x: _bucket(F.col(x), cuts, 0, len(cuts))
         both = both.withColumn("_bucket", bucket(at))
         held = marks.groupBy(bucket(at).alias("_bucket")).agg(F.max_by("_range", at).alias("_own"))
         every = points.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_bucket")).join(F.broadcast(held), "_bucket", "left")
