@@ -6,11 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import census, layout, lookup, reports
 from ..sources.frames import frames_of
+from ..sources.security import protect
 from ..sources.tables import write_table
 from ..sources.writer import from_text
 
@@ -42,6 +43,28 @@ def written(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("path"), content("doc_id", "text", "source").alias("content"))
 
 
+def written_as(spark: SparkSession, d: str, options: Callable[[int], dict], text: Column | None = None) -> DataFrame:
+    """(path, content) of every document as a file with the writer's options for its id."""
+
+    @F.pandas_udf("binary")
+    def content(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([from_text(t or "", packed=4 if i % 2 else 0, **options(i)) for i, t in zip(ids, texts, strict=True)], dtype=object)
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text") if text is None else text.alias("text"))
+    return docs.select(F.col("doc_id").alias("path"), content("doc_id", "text").alias("content"))
+
+
+def whole_texts(spans: DataFrame) -> DataFrame:
+    """(doc_id, text): the pages of each file in order."""
+    joined = layout.page_text(spans).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
+    return joined.select(F.col("file_id").alias("doc_id"), F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"))
+
+
+#: Ways to encrypt by the id; the last one's key takes many rounds, so one file in a hundred has it.
+WAY = lambda i: "AES-256" if i % 100 == 7 else ("RC4-40", "RC4-128", "AES-128", "AES-256-R5")[i % 4]
+WAY_SQL = "CASE WHEN doc_id % 100 = 7 THEN 6 WHEN doc_id % 4 = 3 THEN 5 ELSE doc_id % 4 + 2 END"
+
+
 def frames(spark: SparkSession, d: str, *kinds: str) -> list[DataFrame]:
     found = frames_of(written(spark, d), list(kinds))
     return [found[k] for k in kinds]
@@ -50,9 +73,59 @@ def frames(spark: SparkSession, d: str, *kinds: str) -> list[DataFrame]:
 @query("SELECT doc_id, text FROM documents")
 def roundtrip_text(spark, d):
     (spans,) = frames(spark, d, "spans")
-    pages = layout.page_text(spans)
-    joined = pages.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    return joined.select(F.col("file_id").alias("doc_id"), F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"))
+    return whole_texts(spans)
+
+
+@query("SELECT doc_id, text FROM documents")
+def encrypted_text(spark, d):
+    """Files that are encrypted in five ways, opened with the user's empty password."""
+    return whole_texts(frames_of(written_as(spark, d, lambda i: {"cipher": protect(WAY(i))}), ["spans"])["spans"])
+
+
+@query("SELECT doc_id, text FROM documents")
+def encrypted_text_of_owner(spark, d):
+    """Files that only the owner's password opens here."""
+    files = written_as(spark, d, lambda i: {"cipher": protect(("RC4-40", "RC4-128", "AES-128", "AES-256-R5")[i % 4], user=b"other", owner=b"own")})
+    return whole_texts(frames_of(files, ["spans"], password="own")["spans"])
+
+
+@query(f"SELECT doc_id AS file_id, 'Standard' AS handler, {WAY_SQL} AS r, 'user' AS access, NULL::VARCHAR AS clause FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'Standard', {WAY_SQL}, NULL, '7.6.4' FROM documents WHERE doc_id % 3 = 0")
+def encrypted_files(spark, d):
+    """Encryption dictionaries, and what a missing password gives: every third file has one."""
+    files = written_as(spark, d, lambda i: {"cipher": protect(WAY(i), user=b"" if i % 3 else b"secret")})
+    found = frames_of(files, ["encryption", "decisions"])
+    first = found["decisions"].groupBy("file_id").agg(F.min_by("clause", "seq").alias("clause"))
+    return found["encryption"].join(first, "file_id", "left").select("file_id", "handler", "r", "access", "clause")
+
+
+@query("SELECT doc_id, text FROM documents")
+def form_text(spark, d):
+    """Pages that place a form with their text, in a font that a graphics state sets."""
+    return whole_texts(frames_of(written_as(spark, d, lambda i: {"in_form": True, "filter_name": FILTERS[i % 5]}), ["spans"])["spans"])
+
+
+@query("SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c IN (' ', chr(10)) THEN c ELSE chr(unicode(c) + 19968) END), '') AS text FROM documents")
+def wide_text(spark, d):
+    """Texts moved into the ideographs, in two-byte codes with a character map."""
+    moved = F.transform(F.split("text", ""), lambda c: F.when(c.isin(" ", "\n", ""), c).otherwise(F.decode(F.unhex(F.lpad(F.hex((F.ascii(c) + 19968).cast("long")), 8, "0")), "UTF-32")))
+    return whole_texts(frames_of(written_as(spark, d, lambda i: {}, F.array_join(moved, "")), ["spans"])["spans"])
+
+
+@query(f"""SELECT doc_id AS file_id, 1 AS id, NULL::INT AS parent, 0 AS pos, 'Document' AS tag, NULL AS alt, NULL::INT AS page FROM documents
+UNION ALL SELECT doc_id, k + 2, 1, k, 'P', 'page ' || (k + 1), k + 1 FROM (SELECT doc_id, unnest(generate_series(0, {PAGES_SQL} - 1)) AS k FROM documents)""")
+def struct_tree(spark, d):
+    rows = frames_of(written_as(spark, d, lambda i: {"tagged": True}), ["struct_nodes"])["struct_nodes"]
+    return rows.select("file_id", "id", "parent", "pos", "tag", "alt", "page")
+
+
+@query(f"""WITH p AS (SELECT doc_id AS file_id, unnest(generate_series(1, {PAGES_SQL})) AS page FROM documents)
+SELECT file_id, page, CASE WHEN page < 3 THEN 'r' ELSE 'D' END AS style, CASE WHEN page < 3 THEN '' ELSE 'A-' END AS prefix, CASE WHEN page < 3 THEN page ELSE page - 3 + file_id % 7 + 1 END AS number FROM p""")
+def file_page_labels(spark, d):
+    """The label range of every page, from the files' own number trees."""
+    files = written_as(spark, d, lambda i: {"labels": [(1, "r", "", 1), (3, "D", "A-", int(i % 7) + 1)]})
+    found = frames_of(files, ["pages", "page_labels"])
+    labelled = lookup.last_range(found["pages"].select("file_id", "page"), found["page_labels"].withColumn("first", F.col("from_page")), "page", "from_page", ["style", "prefix", "start_at", "first"], ["file_id"])
+    return labelled.select("file_id", "page", "style", "prefix", (F.col("page") - F.col("first") + F.col("start_at")).alias("number"))
 
 
 @query(f"WITH f AS (SELECT {FILTER_SQL} AS name, {PAGES_SQL} AS n, doc_id % 2 = 1 AS packed FROM documents), u AS (SELECT name, n AS streams FROM f WHERE name IS NOT NULL) SELECT name, CAST(sum(streams) AS BIGINT) AS streams, 0::BIGINT AS on_images, true AS decoded FROM (SELECT * FROM u UNION ALL SELECT 'FlateDecode', CAST(1 + ceil((4 + {PAGES_SQL} + (doc_id % 4) + CASE WHEN doc_id % 4 > 0 THEN 1 ELSE 0 END) / 4) AS BIGINT) FROM documents WHERE doc_id % 2 = 1) GROUP BY name")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 from .filters import FilterError
-from .objects import Keyword, Name, Parser, PdfSyntaxError, Stream
+from .objects import Keyword, Name, Parser, PdfSyntaxError, Ref, Stream
 from .reader import File
 
 #: All operators of the standard (fixed values).
 OPERATORS = frozenset("q Q cm gs w J j M d i ri m l c v y h re W W* S s f F f* B B* b b* n BT ET Tc Tw Tz TL Tf Tr Ts Td TD Tm T* Tj TJ ' \" g G rg RG k K cs CS sc SC scn SCN sh Do BMC BDC EMC MP DP d0 d1 BX EX BI ID EI".split())
 STACK = 64
+#: How deep forms may be placed in forms.
+FORMS = 16
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 BOLD = re.compile("bold|heavy|black", re.I)
 #: Code points of the private use area and circled digits carry no text.
@@ -150,13 +154,28 @@ def glyph_text(name: str) -> str:
     return chr(int(m[1] or m[2], 16)) if m else ""
 
 
-def spans(file: File, data: bytes, resources: Any) -> list[tuple[int, str, float, bool, float, float, float]]:
-    """(op_index, text, font_size, is_bold, x, y, width) of each text-showing operator, with the current matrix applied."""
-    fonts: dict[str, Font] = {}
+def spans(file: File, data: bytes, resources: Any, decide=None) -> list[tuple[int, str, float, bool, float, float, float]]:
+    """(op_index, text, font_size, is_bold, x, y, width) of each text-showing operator, with the current matrix applied.
+
+    Forms are followed where they are placed, and their operators are counted on there.
+    """
     state = {"ctm": IDENTITY, "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "rise": 0.0}
-    stack, out = [], []
+    return list(_spans(file, data, resources, state, {}, (), count(1), decide))
+
+
+def _font(file: File, x: Any, fonts: dict) -> Font:
+    key = x.num if isinstance(x, Ref) else id(x)
+    if key not in fonts:
+        fonts[key] = x, Font(file, file.resolve(x) or {})  # x lives as long as its id is used
+    return fonts[key][1]
+
+
+def _spans(file: File, data: bytes, resources: Any, state: dict, fonts: dict, inside: tuple, number: Iterator[int], decide) -> Iterator[tuple]:
+    """inside: the forms around, so that one that places itself ends."""
+    state, stack = dict(state), []
     tm = line = IDENTITY
-    for index, (op, a) in enumerate(commands(data), 1):
+    for op, a in commands(data, decide if inside else None):
+        index = next(number)
         try:
             if op == "q" and len(stack) < STACK:
                 stack.append(dict(state))
@@ -167,10 +186,26 @@ def spans(file: File, data: bytes, resources: Any) -> list[tuple[int, str, float
             elif op == "BT":
                 tm = line = IDENTITY
             elif op == "Tf":
-                name = str(a[0])
-                if name not in fonts:
-                    fonts[name] = Font(file, file.get(file.get(resources, "Font"), name) or {})
-                state |= {"font": fonts[name], "size": float(a[1])}
+                held = file.get(resources, "Font") or {}
+                if str(a[0]) not in held and decide:
+                    decide(1, "9.3.1", f"font {a[0]} is not among the resources", "measured its text without a font dictionary")
+                state |= {"font": _font(file, held.get(str(a[0])), fonts), "size": float(a[1])}
+            elif op == "gs":
+                font = file.get(file.get(file.get(resources, "ExtGState"), str(a[0])), "Font")
+                if isinstance(font, list) and len(font) == 2:
+                    state |= {"font": _font(file, font[0], fonts), "size": float(file.resolve(font[1]))}
+            elif op == "Do":
+                ref = (file.get(resources, "XObject") or {}).get(str(a[0]))
+                form = file.resolve(ref)
+                if not isinstance(form, Stream) or file.resolve(form.dict.get("Subtype")) != "Form":
+                    continue
+                if ref in inside or len(inside) >= FORMS:
+                    if decide:
+                        decide(1, "8.10.1", f"form {a[0]} places itself or lies too deep", "left its content out there")
+                    continue
+                matrix = [float(file.resolve(v)) for v in file.get(form, "Matrix") or IDENTITY]
+                own = file.get(form, "Resources") or resources
+                yield from _spans(file, file.data(form), own, state | {"ctm": times(tuple(matrix), state["ctm"])}, fonts, (*inside, ref), number, decide)
             elif op in ("Tc", "Tw", "TL", "Ts", "Tz"):
                 key = {"Tc": "tc", "Tw": "tw", "TL": "tl", "Ts": "rise", "Tz": "tz"}[op]
                 state[key] = float(a[0]) / (100 if op == "Tz" else 1)
@@ -190,8 +225,8 @@ def spans(file: File, data: bytes, resources: Any) -> list[tuple[int, str, float
                         text.append(c)
                         advance += (width / 1000 * state["size"] + state["tc"] + (state["tw"] if c == " " else 0)) * state["tz"]
                 scale = (at[2] ** 2 + at[3] ** 2) ** 0.5
-                out.append((index, "".join(text), state["size"] * scale, bool(state["font"] and BOLD.search(state["font"].name)), at[4], at[5] + state["rise"] * scale, advance * (at[0] ** 2 + at[1] ** 2) ** 0.5))
+                yield index, "".join(text), state["size"] * scale, bool(state["font"] and BOLD.search(state["font"].name)), at[4], at[5] + state["rise"] * scale, advance * (at[0] ** 2 + at[1] ** 2) ** 0.5
                 tm = times((1, 0, 0, 1, advance, 0), tm)
-        except (IndexError, TypeError, ValueError):
-            continue
-    return out
+        except (IndexError, TypeError, ValueError) as e:
+            if decide:
+                decide(1, "7.8.2", f"operator {op} has no proper operands: {e}", "left it out")

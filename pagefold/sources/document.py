@@ -13,7 +13,7 @@ from .objects import Name, Ref, Stream, kind_of
 from .reader import File
 
 INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
-DEPTH = {"pages": 32, "form": 64, "outline": 64, "names": 32}
+DEPTH = {"pages": 32, "form": 64, "outline": 64, "names": 32, "structure": 64}
 OUTLINE_ITEMS = 100_000
 
 
@@ -46,7 +46,10 @@ def pages(file: File) -> list[tuple[int, dict, dict]]:
     def walk(x: Any, held: dict, depth: int) -> None:
         num = x.num if isinstance(x, Ref) else 0
         node = file.resolve(x)
-        if not isinstance(node, dict) or depth > DEPTH["pages"] or num in seen:
+        if not isinstance(node, dict) or num in seen:
+            return
+        if depth > DEPTH["pages"]:
+            file.decide(1, "7.7.3.2", f"page tree node {num} lies too deep", "left out what hangs below")
             return
         if num:
             seen.add(num)
@@ -81,7 +84,7 @@ def page_rows(file: File) -> Iterator[dict]:
 def span_rows(file: File) -> Iterator[dict]:
     for n, (_, page, held) in enumerate(pages(file), 1):
         try:
-            for op, text, size, bold, x, y, width in spans(file, content_of(file, page), file.resolve(held.get("Resources"))):
+            for op, text, size, bold, x, y, width in spans(file, content_of(file, page), file.resolve(held.get("Resources")), file.decide):
                 yield {"page": n, "op_index": op, "text": text, "font_size": size, "is_bold": bold, "x": x, "y": y, "width": width, "error": None}
         except (FilterError, RecursionError) as e:  # one page that fails doesn't stop the rest
             yield {"page": n, "op_index": 0, "text": None, "font_size": None, "is_bold": None, "x": None, "y": None, "width": None, "error": str(e)}
@@ -115,7 +118,10 @@ def annotation_rows(file: File) -> Iterator[dict]:
 
 def _name_tree(file: File, node: Any, depth: int = 0) -> Iterator[tuple[bytes, Any]]:
     node = file.resolve(node)
-    if not isinstance(node, dict) or depth > DEPTH["names"]:
+    if not isinstance(node, dict):
+        return
+    if depth > DEPTH["names"]:
+        file.decide(1, "7.9.6", "a name tree nests too deep", "left out what lies deeper")
         return
     names = file.get(node, "Names") or []
     yield from zip(names[::2], names[1::2], strict=False)
@@ -147,13 +153,18 @@ def _tree_rows(file: File, roots: Any, kids_of, depth: int, limit: int) -> Itera
     while todo and n < limit:
         x, parent, pos, level = todo.pop()
         d = file.resolve(x)
-        if not isinstance(d, dict) or level > depth or isinstance(x, Ref) and x.num in seen:
+        if not isinstance(d, dict) or isinstance(x, Ref) and x.num in seen:
+            continue
+        if level > depth:
+            file.decide(1, "7.3.10", f"a tree goes deeper than {depth} levels", "left out what lies deeper")
             continue
         if isinstance(x, Ref):
             seen.add(x.num)
         n += 1
         yield n, parent, pos, d
         todo += [(kid, n, k, level + 1) for k, kid in reversed(list(enumerate(kids_of(d))))]
+    if todo:
+        file.decide(1, "12.3.3", f"a tree has more than {limit} items", "left out the others")
 
 
 def field_rows(file: File) -> Iterator[dict]:
@@ -178,6 +189,51 @@ def outline_rows(file: File) -> Iterator[dict]:
         yield {"node": n, "parent": parent, "pos": pos, "title": text_of(file.get(d, "Title")), "count": count if isinstance(count, int) else 0}
 
 
+def struct_rows(file: File) -> Iterator[dict]:
+    """Structure elements in reading order, with their standard roles and the pages they are on; marked content has no row."""
+    root = file.get(catalog(file), "StructTreeRoot")
+    if not isinstance(root, dict):
+        return
+    roles = file.get(root, "RoleMap") or {}
+    numbers = {num: n for n, (num, _, _) in enumerate(pages(file), 1)}
+
+    def kids(d: dict) -> list:
+        x = d.get("K")
+        x = file.resolve(x) if isinstance(file.resolve(x), list) else [x]
+        return [k for k in x if isinstance(file.resolve(k), dict) and "S" in file.resolve(k)]
+
+    on: dict[int, Any] = {}
+    for n, parent, pos, d in _tree_rows(file, kids(root), kids, DEPTH["structure"], 1 << 30):
+        on[n] = numbers.get(d["Pg"].num) if isinstance(d.get("Pg"), Ref) else on.get(parent)
+        tag, seen = file.get(d, "S"), set()
+        while tag in roles and tag not in seen:
+            seen.add(tag)
+            tag = file.resolve(roles[tag])
+        yield {"id": n, "parent": parent, "pos": pos, "tag": str(tag), "title": text_of(file.get(d, "T")), "alt": text_of(file.get(d, "Alt")), "lang": text_of(file.get(d, "Lang")), "page": on[n]}
+
+
+def _number_tree(file: File, node: Any, depth: int = 0) -> Iterator[tuple[int, Any]]:
+    node = file.resolve(node)
+    if not isinstance(node, dict):
+        return
+    if depth > DEPTH["names"]:
+        file.decide(1, "7.9.7", "a number tree nests too deep", "left out what lies deeper")
+        return
+    numbers = file.get(node, "Nums") or []
+    for k, x in zip(numbers[::2], numbers[1::2], strict=False):
+        if isinstance(k, int):
+            yield k, x
+    for kid in file.get(node, "Kids") or []:
+        yield from _number_tree(file, kid, depth + 1)
+
+
+def label_rows(file: File) -> Iterator[dict]:
+    """Ranges of page labels, from the first page they hold for, counted from 1."""
+    for k, x in _number_tree(file, catalog(file).get("PageLabels")):
+        style, start = file.get(x, "S"), file.get(x, "St")
+        yield {"from_page": k + 1, "style": str(style) if style else None, "prefix": text_of(file.get(x, "P")), "start_at": start if isinstance(start, int) else 1}
+
+
 def filter_rows(file: File) -> Iterator[dict]:
     """A row for each filter that a stream names."""
     for num, (_, x) in sorted(file.objects.items()):
@@ -234,4 +290,4 @@ def encryption_rows(file: File) -> Iterator[dict]:
     e = file.resolve(file.trailer.get("Encrypt"))
     if isinstance(e, dict):
         number = lambda k: v if isinstance(v := file.get(e, k), int) else None
-        yield {"handler": str(file.get(e, "Filter") or ""), "v": number("V"), "r": number("R"), "length": number("Length"), "p": number("P")}
+        yield {"handler": str(file.get(e, "Filter") or ""), "v": number("V"), "r": number("R"), "length": number("Length"), "p": number("P"), "access": file.access}

@@ -41,10 +41,12 @@ SCHEMAS: dict[str, str] = {
     "destinations": "key_kind string, key string, page int, view string",
     "fields": "node int, parent int, pos int, t string, ft string, ff bigint, v string, has_da boolean",
     "outline": "node int, parent int, pos int, title string, count int",
+    "struct_nodes": "id int, parent int, pos int, tag string, title string, alt string, lang string, page int",
+    "page_labels": "from_page int, style string, prefix string, start_at int",
     "metadata": "origin string, " + ", ".join(f"{f} string" for f, _, _ in doc.FIELDS),
     "fonts": "obj_num int, name string, font_type string, is_embedded boolean, is_subset boolean, has_to_unicode boolean",
     "signatures": "obj_num int, sub_filter string, signed_at string, ranges array<bigint>, covered bigint",
-    "encryption": "handler string, v int, r int, length int, p bigint",
+    "encryption": "handler string, v int, r int, length int, p bigint, access string",
 }
 
 
@@ -60,7 +62,7 @@ ROWS: dict[str, Callable[[File], Iterator[dict]]] = {
     "revisions": lambda f: ({"idx": k, "offset": o, "entries": n, "has_trailer": t, "form": form} for k, (o, n, t, form) in enumerate(f.revisions)),
     "xref": lambda f: ({"obj_num": n, "kind": k, "a": a, "b": b, "superseded": n in f.superseded} for n, (k, a, b) in sorted(f.records.items())),
     "objects": _objects, "catalog": doc.catalog_rows, "filters": doc.filter_rows, "pages": doc.page_rows, "commands": doc.command_rows, "spans": doc.span_rows, "annotations": doc.annotation_rows,
-    "destinations": doc.destination_rows, "fields": doc.field_rows, "outline": doc.outline_rows, "metadata": doc.metadata_rows, "fonts": doc.font_rows, "signatures": doc.signature_rows, "encryption": doc.encryption_rows,
+    "destinations": doc.destination_rows, "fields": doc.field_rows, "outline": doc.outline_rows, "struct_nodes": doc.struct_rows, "page_labels": doc.label_rows, "metadata": doc.metadata_rows, "fonts": doc.font_rows, "signatures": doc.signature_rows, "encryption": doc.encryption_rows,
     "decisions": lambda f: ({"seq": k, "severity": s, "clause": c, "found": x, "action": a} for k, (s, c, x, a) in enumerate(f.decisions)),
 }
 
@@ -93,8 +95,11 @@ def _structs(rows: list[dict], t: pa.DataType) -> pa.Array:
         return pa.array([_fitting(r, t) for r in rows], type=t)
 
 
-def parsed(files: DataFrame, kinds: list[str], id_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(file_id, kind, a struct for each kind) in one pass over the files; only the struct of a row's kind is set. A null content is an empty file."""
+def parsed(files: DataFrame, kinds: list[str], id_col: str = "path", content_col: str = "content", password: str = "") -> DataFrame:
+    """(file_id, kind, a struct for each kind) in one pass over the files; only the struct of a row's kind is set.
+
+    A null content is an empty file; password opens encrypted files, as their user's or owner's.
+    """
     unknown = set(kinds) - set(ROWS)
     if unknown:
         raise ValueError(f"no such frames: {sorted(unknown)}")
@@ -112,7 +117,7 @@ def parsed(files: DataFrame, kinds: list[str], id_col: str = "path", content_col
         for part in batches:
             ids, held, size = part.column(0), {k: ([], []) for k in ordered}, 0
             for i, content in enumerate(part.column(1)):
-                file = read(content.as_py() or b"")
+                file = read(content.as_py() or b"", password.encode())
                 for k in ordered:
                     new = list(ROWS[k](file))
                     held[k][0].extend([i] * len(new))
@@ -131,17 +136,17 @@ def frame(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("kind") == kind).select("file_id", f"{kind}.*")
 
 
-def frames_of(files: DataFrame, kinds: list[str], id_col: str = "path", content_col: str = "content") -> dict[str, DataFrame]:
+def frames_of(files: DataFrame, kinds: list[str], id_col: str = "path", content_col: str = "content", password: str = "") -> dict[str, DataFrame]:
     """Frames of (id, content) rows: one kind comes straight from the parser, several come from a table that it wrote."""
-    rows = parsed(files, kinds, id_col, content_col)
+    rows = parsed(files, kinds, id_col, content_col, password)
     if len(set(kinds)) > 1:
         rows = write_table(rows, "parsed", "kind")
     return {k: frame(rows, k) for k in kinds}
 
 
-def read_pdf(spark: SparkSession, path: str, kinds: list[str]) -> dict[str, DataFrame]:
+def read_pdf(spark: SparkSession, path: str, kinds: list[str], password: str = "") -> dict[str, DataFrame]:
     """Frames of the files under a path."""
-    return frames_of(spark.read.format("binaryFile").load(path), kinds)
+    return frames_of(spark.read.format("binaryFile").load(path), kinds, password=password)
 
 
 def is_pdf(content: Column) -> Column:

@@ -12,6 +12,7 @@ from typing import Any
 
 from .filters import FilterError, decode
 from .objects import Keyword, Parser, PdfSyntaxError, Ref, Stream
+from .security import unlock
 
 HEADER = re.compile(rb"%PDF-([0-9.]{1,8})")
 OBJECT = re.compile(rb"(?<![0-9])([0-9]{1,10})[\x00\t\n\x0c\r ]+([0-9]{1,5})[\x00\t\n\x0c\r ]+obj(?![A-Za-z])")
@@ -32,6 +33,7 @@ class File:
     superseded: set[int] = field(default_factory=set)
     decisions: list[tuple[int, str, str, str]] = field(default_factory=list)
     pages: list | None = None  # the page walk, made once
+    access: str | None = None  # whose password has opened it: user, owner, or None if it isn't encrypted
 
     def decide(self, severity: int, clause: str, found: str, action: str) -> None:
         self.decisions.append((severity, clause, found, action))
@@ -160,7 +162,8 @@ def scan(data: bytes) -> dict[int, int]:
     return {int(m[1]): m.start() for m in OBJECT.finditer(data)}
 
 
-def read(whole: bytes) -> File:
+def read(whole: bytes, password: bytes = b"") -> File:
+    """password: of the user or the owner of an encrypted file."""
     file = File()
     m = HEADER.search(whole[:1032])
     if m is None:
@@ -171,7 +174,7 @@ def read(whole: bytes) -> File:
             file.decide(1, "7.5.2", f"{file.base} bytes before the header", "counted offsets from the header on")
     data = whole[file.base :]
     _locate(data, file)
-    _load(data, file)
+    _load(data, file, password)
     return file
 
 
@@ -230,7 +233,7 @@ def _locate(data: bytes, file: File) -> None:
             file.records |= missing
 
 
-def _load(data: bytes, file: File) -> None:
+def _load(data: bytes, file: File, password: bytes) -> None:
     def length_of(ref: Ref) -> Any:
         kind, at, _ = file.records.get(ref.num, ("free", 0, 0))
         if kind != "in_file":
@@ -252,6 +255,8 @@ def _load(data: bytes, file: File) -> None:
         if own != num:
             file.decide(1, "7.5.4", f"object {own} stands where {num} is recorded", "went by the number that the object bears")
         file.objects[own] = (gen, x)
+    if "Encrypt" in file.trailer:
+        unlock(file, password)
     containers = {at for kind, at, _ in file.records.values() if kind == "in_stream"}
     if not file.revisions:  # after a scan nothing says what object streams hold
         containers |= {n for n, (_, x) in file.objects.items() if isinstance(x, Stream) and x.dict.get("Type") == "ObjStm"}

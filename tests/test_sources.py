@@ -120,6 +120,70 @@ def test_standard_security():
     assert security.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
 
 
+def test_aes():
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        assert security.aes_encrypt(bytes(range(size)), bytes(16), block, padded=False).hex() == want
+        assert security.aes_decrypt(bytes(range(size)), bytes(16), bytes.fromhex(want), padded=False) == block
+    rng = random.Random(1)
+    for n in (0, 1, 15, 16, 17, 100):
+        key, start, data = rng.randbytes(rng.choice([16, 32])), rng.randbytes(16), rng.randbytes(n)
+        assert security.aes_decrypt(key, start, security.aes_encrypt(key, start, data)) == data
+    for wrong in (b"x", bytes(16)):
+        with pytest.raises(ValueError):
+            security.aes_decrypt(bytes(16), bytes(16), wrong)
+
+
+@pytest.mark.parametrize("packed", [0, 3])
+@pytest.mark.parametrize("way", sorted(security.WAYS))
+def test_encrypted_files(way, packed):
+    whole = writer.from_text(TEXT, "Tïtle", packed=packed, outline=["a"], cipher=security.protect(way, b"user", b"owner"))
+    assert b"Hello" not in whole
+    for password, access in ((b"user", "user"), (b"owner", "owner")):
+        file = reader.read(whole, password)
+        assert lines(file) == TEXT and not file.decisions and file.access == access
+        assert next(document.metadata_rows(file))["title"] == "Tïtle" and [r["title"] for r in document.outline_rows(file)] == ["a"]
+        assert next(document.encryption_rows(file))["access"] == access
+    file = reader.read(whole, b"wrong")
+    assert "7.6.4" in {d[1] for d in file.decisions} and file.access is None
+
+
+def test_what_cannot_be_opened_is_a_decision():
+    clauses = lambda entry: {d[1] for d in reader.read(writer.build(first.objects_plain, 1, extra={"Encrypt": entry})).decisions}
+    first = reader.read(writer.from_text("abc"))
+    first.objects_plain = {n: x for n, (_, x) in first.objects.items()}
+    name = objects.Name
+    assert clauses({"Filter": name("Adobe.PubSec"), "V": 4}) == {"7.6.5"} and clauses({"Filter": name("Adobe.PubSec"), "Recipients": [b"x"]}) == {"7.6.5"}
+    assert clauses({"Filter": name("Standard"), "V": 3, "R": 3}) == {"7.6.2"} and clauses({"Filter": name("Standard"), "V": 5, "R": 6}) == {"7.6.4"}
+    cipher = security.protect("AES-256-R5")
+    changed = dict(cipher.entry, P=-1)
+    cipher.entry = changed
+    assert {d[1] for d in reader.read(writer.from_text("abc", cipher=cipher)).decisions} == {"7.6.4.4"}
+
+
+def test_forms_and_graphics_states():
+    file = reader.File()
+    name, stream = objects.Name, objects.Stream
+    font = {"BaseFont": name("Arial-Bold")}
+    inner = stream({"Subtype": name("Form"), "Matrix": [1, 0, 0, 1, 3, 4]}, b"BT (in) Tj ET /X1 Do")
+    file.objects[9] = 0, inner
+    resources = {"ExtGState": {"G": {"Font": [font, 8]}}, "XObject": {"X1": objects.Ref(9, 0), "I": stream({"Subtype": name("Image")}, b"")}}
+    found = content.spans(file, b"q 2 0 0 2 0 0 cm /G gs /X1 Do /I Do BT (out) Tj ET Q BT /F9 7 Tf (x) Tj ET", resources, file.decide)
+    assert [(i, t, s, b, x, y) for i, t, s, b, x, y, _ in found] == [(6, "in", 16.0, True, 6.0, 8.0), (11, "out", 16.0, True, 0.0, 0.0), (16, "x", 7.0, False, 0.0, 0.0)]
+    assert [d[1] for d in file.decisions] == ["8.10.1", "9.3.1"]
+
+
+def test_structure_and_labels():
+    file = reader.read(writer.from_text(TEXT, tagged=True, labels=[(1, "r", "", 1), (2, "D", "A-", 5)]))
+    assert [(r["id"], r["parent"], r["tag"], r["alt"], r["page"]) for r in document.struct_rows(file)] == [(1, None, "Document", None, None), (2, 1, "P", "page 1", 1), (3, 1, "P", "page 2", 2), (4, 1, "P", "page 3", 3)]
+    assert [(r["from_page"], r["style"], r["prefix"], r["start_at"]) for r in document.label_rows(file)] == [(1, "r", "", 1), (2, "D", "A-", 5)] and not file.decisions
+
+
+def test_wide_text():
+    text = "漢字 é\n한국 line\n\U00020000"
+    assert lines(reader.read(writer.from_text(text))) == text
+
+
 def test_object_keys_as_columns(spark):
     from pyspark.sql import functions as F
 
