@@ -493,6 +493,17 @@ def test_recall_of_near_duplicates(spark):
     assert got <= want and len(want) > 90 and len(got) >= 0.97 * len(want)
 
 
+def test_repeated_words_are_no_passage(spark):
+    """One word, or one line, over and over; a passage with a line said again is one all the same, where it stands in the text."""
+    line, shared = words(9, 80), words(60, 81).split()
+    again = " ".join([*shared[:30], *line.split(), *line.split(), *shared[30:]])
+    docs = [(1, words(30, 82) + " the" * 70), (2, "the " * 60 + words(20, 83)), (3, " ".join([line] * 20)), (4, " ".join([line] * 15) + words(40, 84)), (5, f"{words(40, 85)} {again} {words(9, 86)}"), (6, f"{again} {words(40, 87)}")]
+    found = {r["doc_id"]: (r["class_id"], r["spans"]) for r in passages.passage_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {**{i: (i, "") for i in (1, 2, 3, 4)}, 5: (5, "40:118"), 6: (5, "0:78")}
+    tokens, at = passages.passage_shingles("a b c d e f " * 30, 46)
+    assert len(tokens) == 6 and at.tolist() == [0, 1, 2, 3, 4, 5]
+
+
 @pytest.mark.parametrize("direct", [8, 1])
 def test_passages_against_all_pairs(spark, monkeypatch, direct):
     """Classes of verbatim passages that groups of documents share, some documents several, against every pair of texts."""
