@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import census, layout, lookup, reports
 from ..sources.frames import frames_of
+from ..sources.saving import save_edits
 from ..sources.security import protect
 from ..sources.tables import write_table
 from ..sources.writer import from_text
@@ -250,3 +251,52 @@ def pdf_reachable_streams(spark, d):
     found = reachable(reports.references(objects.where("type is null or type <> 'ObjStm'")), roots)
     streams = objects.where("kind = 'stream' and type is null").select("file_id", F.col("obj_num").cast("long").alias("id"))
     return found.join(streams, ["file_id", "id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("contents"))
+
+
+PAGED = f"""g AS (SELECT doc_id, {PAGES_SQL} AS n, string_split(text, chr(10)) AS lines FROM documents), h AS (SELECT *, unnest(generate_series(1, n)) AS page FROM g),
+t AS (SELECT doc_id AS file_id, n, page, array_to_string(list_slice(lines, (page - 1) * {LINES} + 1, page * {LINES}), chr(10)) AS text FROM h)"""
+
+
+def saved_pages(files: DataFrame) -> DataFrame:
+    """(file_id, page, rotate, text) of files."""
+    found = frames_of(files, ["pages", "spans"])
+    return found["pages"].select("file_id", "page", "rotate").join(layout.page_text(found["spans"]).select("file_id", "page", "text"), ["file_id", "page"], "left")
+
+
+@query(f"WITH {PAGED} SELECT file_id, CASE WHEN page = n THEN 1 ELSE page + 1 END AS page, CAST(file_id % 4 * 90 AS INT) AS rotate, text FROM t")
+def saved_order(spark, d):
+    """Files that are turned and whose last page comes first, as saved and read again."""
+    steps = F.to_json(F.array(F.struct(F.lit("Rotate").alias("op"), (F.col("path") % 4 * 90).alias("degrees"))))
+    turned = save_edits(written(spark, d).withColumn("steps", steps), "steps").select("path", "content")
+    pages = frames_of(turned, ["pages"])["pages"].groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("file_id", "path")
+    last = F.to_json(F.array(F.struct(F.lit("Reorder").alias("op"), F.col("n").alias("from"), F.lit(1).alias("to"))))
+    return saved_pages(save_edits(turned.join(pages, "path").withColumn("steps", last), "steps"))
+
+
+@query(f"WITH {PAGED} SELECT file_id, page, 0 AS rotate, text || chr(10) || 'AB-' || lpad(CAST(file_id * 10 + page - 1 AS VARCHAR), 8, '0') AS text FROM t")
+def saved_bates(spark, d):
+    """Numbers on all pages, as saved and read again."""
+    steps = F.to_json(F.array(F.struct(F.lit("ApplyBatesNumbering").alias("op"), F.lit("AB-").alias("prefix"), (F.col("path") * 10).alias("start"), F.lit(8).alias("digits"))))
+    return saved_pages(save_edits(written(spark, d).withColumn("steps", steps), "steps"))
+
+
+@query(f"WITH {PAGED} SELECT file_id, page, 0 AS rotate, array_to_string(list_slice(string_split(text, chr(10)), 2, {LINES}), chr(10)) AS text FROM t WHERE len(string_split(text, chr(10))) > 1 UNION ALL SELECT file_id, page, 0, NULL FROM t WHERE len(string_split(text, chr(10))) = 1")
+def saved_redaction(spark, d):
+    """The first line of every page is taken out of the file."""
+    pages = frames_of(written(spark, d), ["pages"])["pages"].groupBy("file_id").agg(F.array_sort(F.collect_set("page")).alias("pages")).withColumnRenamed("file_id", "path")
+    area = lambda p: F.struct(p.alias("page"), F.lit(0).alias("x1"), F.lit(719).alias("y1"), F.lit(100000).alias("x2"), F.lit(725).alias("y2"))
+    steps = F.to_json(F.array(F.struct(F.lit("Redact").alias("op"), F.transform("pages", area).alias("areas"))))
+    redacted = save_edits(written(spark, d).join(pages, "path").withColumn("steps", steps), "steps")
+    found = frames_of(redacted, ["pages", "spans"])
+    # what is left of a redacted line is a span without text
+    texts = layout.page_text(found["spans"].where("text <> '' or y < 719")).select("file_id", "page", "text")
+    return found["pages"].select("file_id", "page", "rotate").join(texts, ["file_id", "page"], "left")
+
+
+@query("SELECT doc_id AS file_id, 'T ' || doc_id || ' é' AS title, source AS author, 'info' AS origin FROM documents UNION ALL SELECT doc_id, 'T ' || doc_id || ' é', source, 'xmp' FROM documents")
+def saved_metadata(spark, d):
+    """Fields that are set in both places."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("source").alias("author"))
+    steps = F.to_json(F.array(F.struct(F.lit("UpdateMetadata").alias("op"), F.concat(F.lit("T "), F.col("path").cast("string"), F.lit(" é")).alias("title"), "author")))
+    rows = frames_of(save_edits(written(spark, d).join(docs, "path").withColumn("steps", steps), "steps"), ["metadata"])["metadata"]
+    return rows.select("file_id", "title", "author", "origin")

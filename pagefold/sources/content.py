@@ -8,7 +8,7 @@ from itertools import count
 from typing import Any
 
 from .filters import FilterError
-from .objects import Keyword, Name, Parser, PdfSyntaxError, Ref, Stream
+from .objects import Keyword, Name, Parser, PdfSyntaxError, Ref, Stream, write
 from .reader import File
 
 #: All operators of the standard (fixed values).
@@ -60,8 +60,6 @@ def commands(data: bytes, decide=None) -> list[tuple[str, list[Any]]]:
 
 
 def serialize(listed: list[tuple[str, list[Any]]]) -> bytes:
-    from .objects import write
-
     return b"\n".join(b" ".join([*map(write, operands), op.encode("latin-1")]) for op, operands in listed)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from typing import Any
 from xml.etree import ElementTree
 
-from .content import spans
+from ..functions.text import PDF_DOC_CHARS, PDF_DOC_CODES
+from .content import commands, spans
 from .filters import FilterError, filters_of
 from .objects import Name, Ref, Stream, kind_of
 from .reader import File
@@ -27,8 +28,6 @@ def text_of(x: Any) -> str | None:
         return x[2:].decode("utf-16-le", "replace")
     if x.startswith(b"\xef\xbb\xbf"):
         return x[3:].decode("utf-8", "replace")
-    from ..functions.text import PDF_DOC_CHARS, PDF_DOC_CODES
-
     return x.decode("latin-1").translate(dict(zip(PDF_DOC_CODES, PDF_DOC_CHARS, strict=True)))
 
 
@@ -91,8 +90,6 @@ def span_rows(file: File) -> Iterator[dict]:
 
 
 def command_rows(file: File) -> Iterator[dict]:
-    from .content import commands
-
     for n, (_, page, _) in enumerate(pages(file), 1):
         try:
             for k, (op, operands) in enumerate(commands(content_of(file, page), file.decide), 1):
@@ -189,21 +186,25 @@ def outline_rows(file: File) -> Iterator[dict]:
         yield {"node": n, "parent": parent, "pos": pos, "title": text_of(file.get(d, "Title")), "count": count if isinstance(count, int) else 0}
 
 
-def struct_rows(file: File) -> Iterator[dict]:
-    """Structure elements in reading order, with their standard roles and the pages they are on; marked content has no row."""
-    root = file.get(catalog(file), "StructTreeRoot")
-    if not isinstance(root, dict):
-        return
-    roles = file.get(root, "RoleMap") or {}
-    numbers = {num: n for n, (num, _, _) in enumerate(pages(file), 1)}
+def struct_elements(file: File) -> Iterator[tuple[int, int | None, int, dict]]:
+    """(number, parent, pos, element) of the structure tree in reading order; marked content is no element."""
 
     def kids(d: dict) -> list:
         x = d.get("K")
         x = file.resolve(x) if isinstance(file.resolve(x), list) else [x]
         return [k for k in x if isinstance(file.resolve(k), dict) and "S" in file.resolve(k)]
 
+    root = file.get(catalog(file), "StructTreeRoot")
+    if isinstance(root, dict):
+        yield from _tree_rows(file, kids(root), kids, DEPTH["structure"], 1 << 30)
+
+
+def struct_rows(file: File) -> Iterator[dict]:
+    """Structure elements with their standard roles and the pages they are on."""
+    roles = file.get(file.get(catalog(file), "StructTreeRoot"), "RoleMap") or {}
+    numbers = {num: n for n, (num, _, _) in enumerate(pages(file), 1)}
     on: dict[int, Any] = {}
-    for n, parent, pos, d in _tree_rows(file, kids(root), kids, DEPTH["structure"], 1 << 30):
+    for n, parent, pos, d in struct_elements(file):
         on[n] = numbers.get(d["Pg"].num) if isinstance(d.get("Pg"), Ref) else on.get(parent)
         tag, seen = file.get(d, "S"), set()
         while tag in roles and tag not in seen:

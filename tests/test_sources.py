@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagefold.sources import content, document, filters, objects, reader, security, writer
+from pagefold.sources import content, document, filters, objects, reader, saving, security, writer
 from pagefold.sources.frames import SCHEMAS, frame, parsed
 
 
@@ -232,3 +232,71 @@ def test_predictors_of_png_rows():
         coded += bytes([kind, *line])
         before = row
     assert filters.predicted(coded, {"Predictor": 15, "Columns": 3, "Colors": 2}) == plain
+
+
+FORM = {"AcroForm": {"Fields": [{"T": b"a", "Kids": [{"T": b"b", "V": b"old"}]}]}}
+SAVES = {
+    "Rotate": ({"degrees": 90, "pages": [2]}, lambda f: [r["rotate"] for r in document.page_rows(f)] == [0, 90, 0]),
+    "Reorder": ({"from": 3, "to": 1}, lambda f: next(document.span_rows(f))["text"] == "line 97"),
+    "RemovePages": ({"pages": [1, 9]}, lambda f: len(document.pages(f)) == 2 and [r["page"] for r in document.struct_rows(f)] == [None, None, 1, 2]),
+    "SetPageLabels": ({"labels": [{"from_page": 2, "style": "r", "prefix": "x"}]}, lambda f: [(r["from_page"], r["style"], r["prefix"], r["start_at"]) for r in document.label_rows(f)] == [(2, "r", "x", 1)]),
+    "UpdateStructElem": ({"id": 2, "alt": "ü", "tag": "H1"}, lambda f: [(r["tag"], r["alt"]) for r in document.struct_rows(f)][1] == ("H1", "ü")),
+    "DeleteStructElem": ({"id": 3}, lambda f: [r["alt"] for r in document.struct_rows(f)] == [None, "page 1", "page 3"]),
+    "UpdateArticleThreads": ({"threads": [{"pages": [1, 3]}]}, lambda f: f.get(f.get(f.get(f.resolve(document.catalog(f)["Threads"][0]), "F"), "N"), "P") is document.pages(f)[2][1]),
+    "AddUserProperties": ({"id": 2, "properties": [{"name": "n", "value": 3}]}, lambda f: list(document.struct_elements(f))[1][3]["A"][0]["P"] == [{"N": b"n", "V": b"3"}]),
+    "CreatePortfolio": ({"files": [{"name": "f", "data": "abc"}]}, lambda f: f.data(f.get(f.get(f.resolve(document.catalog(f)["Names"]["EmbeddedFiles"]["Names"][1]), "EF"), "F")) == b"abc"),
+    "UpdateOutlines": ({"items": [{"title": "a", "children": [{"title": "b"}, {"title": "c"}]}, {"title": "漢", "page": 2}]}, lambda f: [(r["title"], r["parent"]) for r in document.outline_rows(f)] == [("a", None), ("b", 1), ("c", 1), ("漢", None)]),
+    "UpdateLayers": ({"layers": [{"id": "l", "name": "n", "visible": False}]}, lambda f: f.get(f.resolve(document.catalog(f)["OCProperties"]["D"]["OFF"][0]), "Name") == b"n"),
+    "AttachAssociatedFile": ({"name": "f", "relationship": "Data"}, lambda f: f.get(document.catalog(f)["AF"][0], "AFRelationship") == "Data"),
+    "SetOutputIntent": ({"identifier": "sRGB"}, lambda f: document.catalog(f)["OutputIntents"][0]["OutputConditionIdentifier"] == b"sRGB"),
+    "SetPronunciationLexicon": ({"data": "<x/>"}, lambda f: len(f.get(document.catalog(f), "StructTreeRoot")["PronunciationLexicon"]) == 1),
+    "AddPageDecoration": ({"text": "stamp", "position": "TopLeft", "pages": 2}, lambda f: [(r["page"], r["x"], r["y"]) for r in document.span_rows(f) if r["text"] == "stamp"] == [(2, 24.0, 758.0)]),
+    "ApplyBatesNumbering": ({"prefix": "A", "start": 9, "digits": 3}, lambda f: [r["text"] for r in document.span_rows(f) if r["text"].startswith("A0")] == ["A009", "A010", "A011"]),
+    "AddAnnotation": ({"page": 3, "subtype": "Text", "contents": "note"}, lambda f: [(r["page"], r["subtype"]) for r in document.annotation_rows(f)] == [(1, "Link"), (3, "Text")]),
+    "SetMeasurementScale": ({"page": 1, "scale": "1:2"}, lambda f: document.pages(f)[0][1]["VP"][0]["Measure"]["R"] == b"1:2"),
+    "SetFormFieldValue": ({"name": "a.b", "value": "new"}, lambda f: [r["v"] for r in document.field_rows(f)] == [None, "new"]),
+    "ExecuteAction": ({"action": "URI", "target": "x"}, lambda f: document.catalog(f)["OpenAction"] == {"S": "URI", "URI": b"x"}),
+    "SetGeospatialAnchor": ({"page": 2, "latitude": 1, "longitude": 2}, lambda f: document.pages(f)[1][1]["VP"][0]["Measure"]["GPTS"] == [1.0, 2.0]),
+    "AddMeshShading": ({"page": 1, "shading_type": 4}, lambda f: f.get(document.pages(f)[0][1]["Resources"]["Shading"], "Mesh0").dict["ShadingType"] == 4),
+    "SetUnencryptedWrapper": ({"name": "w"}, lambda f: f.get(document.catalog(f)["AF"][0], "AFRelationship") == "EncryptedPayload"),
+    "AddPublicKeyRecipient": ({"subject": "s"}, lambda f: document.catalog(f)["Encrypt"]["Recipients"] == [b"s"]),
+    "UpdateMetadata": ({"title": "T & ü", "author": ""}, lambda f: [(r["title"], r["author"]) for r in document.metadata_rows(f)] == [("T & ü", None)] * 2),
+    "Redact": ({"areas": [{"page": 2, "x1": 0, "y1": 719, "x2": 200, "y2": 725}]}, lambda f: "line 47" not in lines(f) and "line 46" in lines(f) and "line 48" in lines(f)),
+}
+
+
+@pytest.mark.parametrize("packed", [0, 4])
+@pytest.mark.parametrize("name", sorted(SAVES))
+def test_saved_operation(name, packed):
+    file = reader.read(writer.from_text(TEXT, "old", packed=packed, links=1, tagged=True, in_form=False))
+    plain = {n: x for n, (_, x) in file.objects.items() if not (isinstance(x, objects.Stream) and x.dict.get("Type") in ("XRef", "ObjStm"))}
+    plain[1] |= FORM
+    arguments, holds = SAVES[name]
+    out = reader.read(saving.edited(writer.build(plain, 1, 4, packed=packed), [{"op": name} | arguments]))
+    assert holds(out) and not out.decisions
+    if name not in ("Reorder", "RemovePages", "Redact", "AddPageDecoration", "ApplyBatesNumbering"):
+        assert lines(out) == TEXT
+
+
+def test_all_operations_are_saved():
+    from pagefold.operators.edits import OPERATIONS
+
+    assert set(saving.SAVED) == set(SAVES) == set(OPERATIONS) | {"UpdateMetadata", "Redact"}
+    whole = writer.from_text(TEXT, cipher=security.protect("AES-128", b"user"))
+    for operations, password in (([{"op": "Nothing"}], b"user"), ([], b"wrong"), ([{"op": "Rotate", "degrees": 45}], b"user"), ([{"op": "SetFormFieldValue", "name": "x", "value": "y"}], b"user"), ([{"op": "DeleteStructElem", "id": 5}], b"user")):
+        with pytest.raises(ValueError):
+            saving.edited(whole, operations, password)
+    again = reader.read(saving.edited(whole, [], b"owner", version="2.0", cipher=security.protect("AES-256-R5", b"new")), b"new")
+    assert lines(again) == TEXT and again.version == "2.0" and not again.decisions
+
+
+def test_redaction_in_forms():
+    out = reader.read(saving.edited(writer.from_text("a\nb", in_form=True), [{"op": "Redact", "areas": [{"page": 1, "x1": 0, "y1": 719, "x2": 200, "y2": 725}]}]))
+    assert lines(out) == "" and not out.decisions
+
+
+def test_saved_files_of_a_frame(spark):
+    rows = [(1, writer.from_text("a"), '[{"op": "Rotate", "degrees": 90}]'), (2, writer.from_text("b"), None), (3, b"junk", "[]"), (4, writer.from_text("c"), '[{"op": "X"}]'), (5, None, None)]
+    found = {r["path"]: r for r in saving.save_edits(spark.createDataFrame(rows, "path int, content binary, steps string"), "steps").collect()}
+    assert [found[k]["error"] is None for k in range(1, 6)] == [True, True, False, False, False]
+    assert next(document.page_rows(reader.read(bytes(found[1]["content"]))))["rotate"] == 90 and bytes(found[3]["content"]) == b"junk"
