@@ -47,13 +47,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", rows: int | None = None) -> DataFrame:
     """left joined with right, which has one row for each key and in column ``n`` how many rows of left have it (``n`` is dropped).
 
     The rows of a heavy key never meet in one task: heavy keys, a bounded number, are broadcast, the others are shuffled.
-    Both frames are read more than once, so they should be written tables.
+    rows: how many left has, if that is known. Both frames are read more than once, so large ones should be written tables.
     """
-    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] if rows is None else rows
     if total <= HEAVY_ROWS:
         return left.join(right.drop(n), keys)
     heavy = F.col(n) > max(HEAVY_ROWS, total // HEAVY_KEYS)
