@@ -69,7 +69,14 @@ def _any(parts: list[Query]) -> Query:
 
 
 def _of_strings(strings: set[str]) -> Query:
-    return _any([_all([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """Trigrams are of UTF-8 bytes, each written as the Latin-1 letter of its number."""
+    coded = [s.encode("utf-8", "surrogatepass").decode("latin-1") for s in sorted(strings)]
+    return _any([_all([s[i : i + 3] for i in range(len(s) - 2)]) for s in coded])
+
+
+def _low(c: int) -> str:
+    """Expressions are compiled so that only ASCII letters are compared without case."""
+    return chr(c).lower() if c < 128 else chr(c)
 
 
 def _walk(items) -> tuple[set[str] | None, Query]:
@@ -94,14 +101,14 @@ def _walk(items) -> tuple[set[str] | None, Query]:
 
 def _node(op, arg) -> tuple[set[str] | None, Query]:
     if op is rc.LITERAL:
-        return {chr(arg).lower()}, None
+        return {_low(arg)}, None
     if op is rc.IN:
         found: set[str] = set()
         for kind, value in arg:
             if kind is rc.LITERAL:
-                found.add(chr(value).lower())
+                found.add(_low(value))
             elif kind is rc.RANGE and value[1] - value[0] < MAX_CLASS:
-                found |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
+                found |= {_low(c) for c in range(value[0], value[1] + 1)}
             else:
                 return None, None
         return (found if len(found) <= MAX_CLASS else None), None
@@ -145,7 +152,7 @@ class BlockIndex:
 
     def __init__(self, wanted: set[str]):
         self.codes = {t: int.from_bytes(t.encode("latin-1"), "big") for t in wanted}
-        self.slot = np.zeros(1 << 24, dtype=np.uint8)
+        self.slot = np.zeros(1 << 24, dtype=np.uint8 if len(wanted) < 256 else np.uint16 if len(wanted) < 1 << 16 else np.uint32)
         for k, code in enumerate(sorted(self.codes.values()), 1):
             self.slot[code] = k
         self.rank = {t: int(self.slot[c]) for t, c in self.codes.items()}
