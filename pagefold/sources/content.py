@@ -118,6 +118,9 @@ class Font:
         encoding = get("Encoding")
         base = file.get(encoding, "BaseEncoding") if isinstance(encoding, dict) else encoding
         self.codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
+        self.known: dict[int, tuple[str, float]] = {}
+        self.text_of: dict[int, str] = {}
+        self.width_of: dict[int, float] = {}
         self.differences: dict[int, str] = {}
         code = 0
         for x in (file.get(encoding, "Differences") or []) if isinstance(encoding, dict) else []:
@@ -127,20 +130,26 @@ class Font:
             elif isinstance(x, int):
                 code = x
 
-    def characters(self, data: bytes) -> list[tuple[str, float]]:
-        """(text, width in thousandths) of each code; a width of zero falls back to 500, or 1000 for wide scripts."""
-        step, out = 2 if self.two_bytes else 1, []
-        for at in range(0, len(data) - step + 1, step):
-            code = int.from_bytes(data[at : at + step], "big")
-            text = self.texts.get((step, code))
-            if text is None:
-                text = self.differences.get(code) if code in self.differences else bytes([code]).decode(self.codec, "replace") if step == 1 else chr(code) if code < 128 else ""
-                if text == "�":
-                    text = chr(code)
-            k = code - self.first
-            width = self.widths[k] if step == 1 and 0 <= k < len(self.widths) and isinstance(self.widths[k], (int, float)) else 0
-            out.append((SILENT.sub("", text), width or (1000 if text and max(text) >= "⺀" else 500)))
-        return out
+    def _character(self, code: int) -> tuple[str, float]:
+        """(text, width in thousandths) of a code; a width of zero falls back to 500, or 1000 for wide scripts."""
+        step = 2 if self.two_bytes else 1
+        text = self.texts.get((step, code))
+        if text is None:
+            text = self.differences.get(code) if code in self.differences else bytes([code]).decode(self.codec, "replace") if step == 1 else chr(code) if code < 128 else ""
+            if text == "\ufffd":
+                text = chr(code)
+        k = code - self.first
+        width = self.widths[k] if step == 1 and 0 <= k < len(self.widths) and isinstance(self.widths[k], (int, float)) else 0
+        return SILENT.sub("", text), width or (1000 if text and max(text) >= "⺀" else 500)
+
+    def show(self, data: bytes) -> tuple[str, float, int, int]:
+        """Text, width in thousandths, codes and spaces of a string; each code is worked out once."""
+        codes = [high << 8 | low for high, low in zip(data[::2], data[1::2], strict=False)] if self.two_bytes else data
+        for code in set(codes).difference(self.known):
+            self.known[code] = self._character(code)
+            self.text_of[code], self.width_of[code] = self.known[code]
+        text = "".join(map(self.text_of.__getitem__, codes))
+        return text, sum(map(self.width_of.__getitem__, codes)), len(codes), text.count(" ")
 
 
 def glyph_text(name: str) -> str:
@@ -219,9 +228,10 @@ def _spans(file: File, data: bytes, resources: Any, state: dict, fonts: dict, in
                     if isinstance(x, (int, float)):
                         advance -= x / 1000 * state["size"] * state["tz"]
                         continue
-                    for c, width in state["font"].characters(x) if state["font"] else []:
-                        text.append(c)
-                        advance += (width / 1000 * state["size"] + state["tc"] + (state["tw"] if c == " " else 0)) * state["tz"]
+                    if state["font"]:
+                        shown, width, codes, blanks = state["font"].show(x)
+                        text.append(shown)
+                        advance += (width / 1000 * state["size"] + codes * state["tc"] + blanks * state["tw"]) * state["tz"]
                 scale = (at[2] ** 2 + at[3] ** 2) ** 0.5
                 yield index, "".join(text), state["size"] * scale, bool(state["font"] and BOLD.search(state["font"].name)), at[4], at[5] + state["rise"] * scale, advance * (at[0] ** 2 + at[1] ** 2) ** 0.5
                 tm = times((1, 0, 0, 1, advance, 0), tm)

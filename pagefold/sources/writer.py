@@ -83,7 +83,7 @@ def from_text(
     places a form that shows its text, in a font that a graphics state sets. cipher encrypts the file.
     """
     parts = text.split("\n")
-    wide = sorted(set(text)) if any(ord(c) > 255 for c in text) else []
+    wide = sorted(set(text)) if max(text, default="") > "\xff" else []
     code = {c: k.to_bytes(2, "big") for k, c in enumerate(wide, 1)}
     coded = (lambda x: b"".join(code[c] for c in x)) if wide else (lambda x: x.encode("latin-1", "replace"))
     objects: dict[int, Any] = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 3: {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}, 4: {"Title": b"\xfe\xff" + title.encode("utf-16-be")}}
