@@ -29,11 +29,18 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """The table goes when the application does: results may be read from it as long as that runs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def write_table(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Writes a frame as Parquet to the shared folder, in a folder for each value of a column if one is named, and reads it back."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    _remove_at_end(spark, path)
     schema = df.schema
     if by:
         schema = type(schema)([f for f in schema if f.name != by] + [schema[by]])
