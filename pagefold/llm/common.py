@@ -2,49 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import write_table
+
 #: Rows of a key beyond which the key is heavy, and the most keys that can be heavy, whatever the input: with n rows in all, a
 #: heavy key has n / HEAVY_KEYS or more, so there are no more than that many.
 HEAVY_ROWS = 1_000
 HEAVY_KEYS = 1_000
 
-_LOCAL_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master (one machine, as in tests) may fall back to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL_ROOT:
-        folder = tempfile.mkdtemp(prefix="pagefold-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _LOCAL_ROOT.append(f"file://{folder}")
-    return _LOCAL_ROOT[0]
-
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, label)
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", rows: int | None = None) -> DataFrame:

@@ -5,8 +5,9 @@ first; a document that contains a window must hold the window's rarest shingle,
 (exact containment leaves a prefix of length one). Documents are probed for prefix shingles only; a hit fixes where the
 window would begin, the length and position bounds are applied, and the words are compared exactly.
 
-The item side is a query set: it is taken in blocks whose size is checked, each block a count over the documents, and a
-block's windows are what is sent to executors at a time. A document's hits never leave its row, so no key can be hot.
+The item side is a query set: it is taken in blocks whose size is checked, each block a count over the documents, and the
+windows of a few blocks, a bounded number of bytes, are what is sent to executors for a pass. A document's hits never leave its
+row, so no key can be hot.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 10
 SHINGLE = 5
 #: Item characters of one block: what is sent to executors at a time.
 BLOCK_CHARS = 8 << 20
+#: Blocks that one pass over the documents looks for; the result of a pass is written before the next one.
+BLOCKS = 4
 
 #: Bytes of words after lower-casing: digits, small letters and everything beyond ASCII; all others become a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -154,19 +159,27 @@ def contaminated_spans(
     """
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     listed = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("item").isNotNull())
-    found = []
+    source = docs.select(*names)
+    out, waiting = None, []
+
+    def searched(finders: list) -> DataFrame:
+        """What some blocks find, together with what the ones before them did."""
+        found = (source if out is None else out).select("*", *(f(F.col(text_col)).alias(f"_found{k}") for k, f in enumerate(finders)))
+        blocks = [F.col(f"_found{k}") for k in range(len(finders))]
+        if out is None and len(blocks) == 1:
+            return found.select(*names, "_found0.n_words", "_found0.hits", "_found0.items")
+        hits, found_items = ([x[c] for x in blocks] + ([F.col(c)] if out is not None else []) for c in ("hits", "items"))
+        return found.select(*names, "_found0.n_words", merged_ranges(F.sort_array(F.concat(*hits))).alias("hits"), F.array_sort(F.array_distinct(F.concat(*found_items))).alias("items"))
+
     for block in _item_blocks(listed, block_chars):
         windows = windows_of(block, window)
-        if windows:
-            counts = shingle_counts(docs.select(F.col(text_col).alias("text")), {s for w in windows for s in shingles_of(w, shingle)})
-            found.append(_finder(windows, prefixes(windows, counts, shingle)))
-    found = found or [_finder({}, {})]
-    out = docs.select(*names, *(f(F.col(text_col)).alias(f"_found{k}") for k, f in enumerate(found)))
-    blocks = [F.col(f"_found{k}") for k in range(len(found))]
-    if len(blocks) == 1:
-        return out.select(*names, "_found0.n_words", "_found0.hits", "_found0.items")
-    ordered = F.sort_array(F.concat(*(x["hits"] for x in blocks)))
-    return out.select(*names, "_found0.n_words", merged_ranges(ordered).alias("hits"), F.array_sort(F.array_distinct(F.concat(*(x["items"] for x in blocks)))).alias("items"))
+        if not windows:
+            continue
+        if len(waiting) == BLOCKS:  # no plan holds the windows of more
+            out, waiting = materialize(searched(waiting), "found"), []
+        counts = shingle_counts(docs.select(F.col(text_col).alias("text")), {s for w in windows for s in shingles_of(w, shingle)})
+        waiting.append(_finder(windows, prefixes(windows, counts, shingle)))
+    return searched(waiting or [_finder({}, {})])
 
 
 def merged_ranges(ordered):

@@ -87,7 +87,8 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFram
 def count_words(chunks: DataFrame) -> DataFrame:
     """(chunk, number, n, first, suffix, often): n counts the word in all training texts, first marks one row of each word.
 
-    often is the word itself where it makes up a 20,000th of its chunk's training tokens or more: each word that frequent
+    A word has one row in a chunk, however often it stands there, so no word holds a larger share of the rows than one part in the
+    distinct words of a chunk. often is the word itself where it makes up a 20,000th of its chunk's training tokens or more: each word that frequent
     overall has such a row.
     """
 

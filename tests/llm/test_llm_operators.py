@@ -565,7 +565,8 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("block", [1 << 20, 150])
-def test_decontamination(spark, odd, odd_rows, none, block):
+def test_decontamination(spark, odd, odd_rows, none, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
     a, b = words(40, 70), words(30, 71)
     items = [(1, a), (2, b), (3, "Short item!"), (4, None), (5, "..."), (6, a), (None, b)]
     docs = [(50, "x " + " ".join(a.upper().split()[5:22]) + " y"), (51, " ".join(b.split()[:9])), (52, "a SHORT-item here, short item"), (53, a + " " + b), (54, None)]
