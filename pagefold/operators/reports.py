@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DECODED_FILTERS
 from .census import SEVERITIES
+from .layout import audit_tags
 from .trees import walk
 
 #: Catalogue keys whose contents have a reader, those that are only named, and so the standard's 32 (fixed values).
@@ -97,6 +98,13 @@ def compliance(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("file_id").agg(F.bool_or(F.col("key") == "StructTreeRoot").alias("has_structure"), F.bool_or(F.col("key") == "MarkInfo").alias("has_mark_info"), F.bool_or(F.col("key") == "Lang").alias("has_language"))
 
 
+def tag_findings(catalog: DataFrame, struct_nodes: DataFrame) -> DataFrame:
+    """(file_id, id, checkpoint) of files: 00-001 for one without a structure tree, and what the audit of tags finds in the others."""
+    bare = compliance(catalog).where("not has_structure").select("file_id", F.lit(None).cast("int").alias("id"), F.lit("00-001").alias("checkpoint"))
+    nodes = struct_nodes.select("file_id", "id", F.col("id").alias("dfs_pos"), "tag", "alt", F.col("page_lost").alias("page_missing"))
+    return bare.unionByName(audit_tags(nodes).select("file_id", "id", "checkpoint"))
+
+
 def references(objects: DataFrame) -> DataFrame:
     """Edges (file_id, src, dst) from objects to those they name."""
     found = F.regexp_extract_all("value", F.lit('"([0-9]+) [0-9]+ R"'), F.lit(1))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import census, layout, lookup, reports
+from ..sources.document import struct_elements
 from ..sources.frames import frames_of
-from ..sources.saving import save_edits
+from ..sources.reader import read
+from ..sources.saving import edited, save_edits
 from ..sources.security import protect
 from ..sources.tables import write_table
 from ..sources.writer import from_text
@@ -119,6 +121,24 @@ def struct_tree(spark, d):
     return rows.select("file_id", "id", "parent", "pos", "tag", "alt", "page")
 
 
+@query(f"""SELECT doc_id AS file_id, NULL::INT AS id, '00-001' AS checkpoint FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, k + 2, '14-001' FROM (SELECT doc_id, unnest(generate_series(0, {PAGES_SQL} - 1)) AS k FROM documents WHERE doc_id % 3 = 1) WHERE k = 0
+UNION ALL SELECT doc_id, k + 2, '13-001' FROM (SELECT doc_id, unnest(generate_series(0, {PAGES_SQL} - 1)) AS k FROM documents WHERE doc_id % 3 = 2)""")
+def file_tag_audit(spark, d):
+    """Untagged files, files whose headings begin at the second level, and files whose figures have no description."""
+
+    @F.pandas_udf("binary")
+    def retagged(ids: pd.Series, contents: pd.Series) -> pd.Series:
+        steps = ([], [("H2", "x")], [("Figure", "")])
+        kinds = [(bytes(c), steps[i % 3]) for i, c in zip(ids, contents, strict=True)]
+        return pd.Series([edited(c, [{"op": "UpdateStructElem", "id": n, "tag": t, "alt": a} for t, a in s for n, _, _, e in struct_elements(read(c)) if n > 1]) for c, s in kinds], dtype=object)
+
+    files = written_as(spark, d, lambda i: {"tagged": i % 3 > 0})
+    found = frames_of(files.select("path", retagged("path", "content").alias("content")), ["catalog", "struct_nodes"])
+    nodes = found["struct_nodes"].withColumn("alt", F.when(F.col("alt") != "", F.col("alt")))
+    return reports.tag_findings(found["catalog"], nodes)
+
+
 @query(f"""WITH p AS (SELECT doc_id AS file_id, unnest(generate_series(1, {PAGES_SQL})) AS page FROM documents)
 SELECT file_id, page, CASE WHEN page < 3 THEN 'r' ELSE 'D' END AS style, CASE WHEN page < 3 THEN '' ELSE 'A-' END AS prefix, CASE WHEN page < 3 THEN page ELSE page - 3 + file_id % 7 + 1 END AS number FROM p""")
 def file_page_labels(spark, d):

@@ -210,7 +210,7 @@ def struct_rows(file: File) -> Iterator[dict]:
         while tag in roles and tag not in seen:
             seen.add(tag)
             tag = file.resolve(roles[tag])
-        yield {"id": n, "parent": parent, "pos": pos, "tag": str(tag), "title": text_of(file.get(d, "T")), "alt": text_of(file.get(d, "Alt")), "lang": text_of(file.get(d, "Lang")), "page": on[n]}
+        yield {"id": n, "parent": parent, "pos": pos, "tag": str(tag), "title": text_of(file.get(d, "T")), "alt": text_of(file.get(d, "Alt")), "lang": text_of(file.get(d, "Lang")), "page": on[n], "page_lost": "Pg" in d and on[n] is None}
 
 
 def _number_tree(file: File, node: Any, depth: int = 0) -> Iterator[tuple[int, Any]]:

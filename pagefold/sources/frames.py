@@ -41,7 +41,7 @@ SCHEMAS: dict[str, str] = {
     "destinations": "key_kind string, key string, page int, view string",
     "fields": "node int, parent int, pos int, t string, ft string, ff bigint, v string, has_da boolean",
     "outline": "node int, parent int, pos int, title string, count int",
-    "struct_nodes": "id int, parent int, pos int, tag string, title string, alt string, lang string, page int",
+    "struct_nodes": "id int, parent int, pos int, tag string, title string, alt string, lang string, page int, page_lost boolean",
     "page_labels": "from_page int, style string, prefix string, start_at int",
     "metadata": "origin string, " + ", ".join(f"{f} string" for f, _, _ in doc.FIELDS),
     "fonts": "obj_num int, name string, font_type string, is_embedded boolean, is_subset boolean, has_to_unicode boolean",
