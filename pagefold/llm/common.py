@@ -14,7 +14,7 @@ from ..sources.tables import write_table
 
 #: Rows of a key beyond which the key is heavy, and the most keys that can be heavy, whatever the input: with n rows in all, a
 #: heavy key has n / HEAVY_KEYS or more, so there are no more than that many.
-HEAVY_ROWS = 1_000
+HEAVY_ROWS = 10_000
 HEAVY_KEYS = 1_000
 
 
