@@ -44,6 +44,20 @@ def test_damage_is_a_decision(damage, clause, whole):
     assert (lines(file) == TEXT) == whole
 
 
+@pytest.mark.parametrize("sections", [True, False])
+@pytest.mark.parametrize("held", [b"short", b"%PDF-1.7\n8 0 obj\n<</Length 1>>\nstream\nx\nendstream\nendobj\n9 0 obj\n<</Length 1>>\nstream\ny"])
+def test_a_length_that_leads_to_the_end_of_a_later_stream(held, sections):
+    """Only a length that reaches into objects which aren't part of the data is wrong; a file in a stream keeps its own."""
+    second = b"\nendstream\nendobj\n2 0 obj\n<</Length 6>>\nstream\nsecond"
+    first = len(held) + len(second) if held == b"short" else len(held)
+    body = b"%%PDF-1.7\n1 0 obj\n<</Length %d>>\nstream\n" % first + held + second + b"\nendstream\nendobj\n3 0 obj\n<</Type /Catalog>>\nendobj\n"
+    at = [body.index(b"1 0 obj"), body.index(b"\n2 0 obj") + 1, body.index(b"\n3 0 obj") + 1]
+    table = b"xref\n0 4\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % a for a in at) + b"trailer\n<</Root 3 0 R/Size 4>>\nstartxref\n%d\n%%%%EOF\n" % len(body)
+    file = reader.read(body + table if sections else body)
+    assert file.objects[1][1].data == held and file.objects[2][1].data == b"second"
+    assert any(c == "7.3.8.2" for _, c, _, _ in file.decisions) == (held == b"short")
+
+
 def test_appended_update_wins():
     first = writer.from_text("abc", "old")
     at = reader.read(first).revisions[0][0]
