@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 
 import pytest
@@ -148,6 +149,26 @@ def test_aes():
             security.aes_decrypt(bytes(16), bytes(16), wrong)
 
 
+def test_plain_ciphers_and_those_of_the_c_library(monkeypatch):
+    """Both give the same, and a password of revision 6 takes little time where the library is there."""
+    if security.native() is None:
+        pytest.skip("no C library")
+    rng = random.Random(2)
+    given = [(rng.randbytes(n), rng.randbytes(16), rng.randbytes(m)) for n in (16, 32) for m in (0, 1, 16, 33, 4000)]
+
+    def results():
+        sealed = [security.aes_encrypt(k, s, d) for k, s, d in given]
+        return sealed, [security.aes_decrypt(k, s, x) for (k, s, _), x in zip(given, sealed, strict=True)], [security.rc4(k[:5], d) for k, _, d in given], security.password_hash(b"p", b"12345678", b"", 6)
+
+    fast = results()
+    begin = time.process_time()
+    for _ in range(10):
+        security.protect("AES-256")
+    assert time.process_time() - begin < 2  # four hashes each: over 10 s in the plain form
+    monkeypatch.setattr(security, "native", lambda: None)
+    assert results() == fast
+
+
 @pytest.mark.parametrize("packed", [0, 3])
 @pytest.mark.parametrize("way", sorted(security.WAYS))
 def test_encrypted_files(way, packed):
