@@ -5,10 +5,10 @@ compare sums of rectangles of this image, read off its integral image; each comp
 frame is one packed 32-bit integer. Recordings are aligned by an offset histogram of equal keys (the outer bits of three frames)
 and accepted by the share of differing bits over the overlap at the best offset.
 
-Equal fingerprints collapse first. All recordings that hold a key are compared in tiles, as numpy arrays of the frames around
-the key; only pairs with few differing bits leave a tile, and are then aligned whole. Of a crowded key, a tile's recordings are
-compared with its first one before, and with each other only if that didn't put them into one component, so a large group of near copies
-gives a few rows for each member and no pair of different recordings is left out.
+Equal fingerprints collapse first. All recordings that hold a key are compared with one another in tiles, as numpy arrays of the
+frames around the key, whatever they were linked with before. Where both stand there whole, the tile decides at this offset, and a
+pair leaves it at the first key that votes for the offset only; pairs of longer recordings, and those in which the key stands at
+several places, all leave the tile and are aligned whole. So each link between different recordings is found and counted.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, keyed_join, materialize, shared_rows, worker_cache
+from .common import batches_of, materialize, shared_rows, worker_cache
 from .components import connected_components
 
 #: Frames: samples a second after resampling by whole steps, samples of a frame and from one to the next.
@@ -37,9 +37,9 @@ CLEAR = 0.25
 STEP = 5
 #: Equal keys at one offset that make a candidate, frames of overlap and share of differing bits that make a match.
 VOTES, OVERLAP, ERRORS = 2, 20, 0.2
-#: Frames on either side of a key that a tile holds, and the share of differing bits there beyond which longer recordings are not aligned.
-AROUND, LOCAL = 48, 0.3
-#: Recordings of a key that are all compared in the first round; recordings of a tile on average; pairs that are compared at a time.
+#: Frames on either side of a key that a tile holds.
+AROUND = 48
+#: Recordings of a tile that is compared together with others; recordings of a tile on average; pairs that are compared at a time.
 DIRECT, TILE, PAIRS = 16, 1024, 1 << 13
 
 
@@ -181,8 +181,8 @@ def around_key(prints: np.ndarray, at: int) -> tuple[int, int, bytes]:
 
 
 def close_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs (i, j) of a key's recordings have few differing bits where both are held: exactly a match's share and overlap if
-    both are held whole, else LOCAL. x: frames, low, high (held on either side) and size of each recording."""
+    """Which pairs (i, j) of a key's recordings may match: exactly those with a match's share of bits and overlap at the key's offset
+    if both are held whole, else all. x: frames, low, high (held on either side) and size of each recording."""
     out = np.zeros(len(i), dtype=bool)
     place = np.arange(2 * AROUND + 1)
     for at in range(0, len(i), PAIRS):
@@ -193,14 +193,26 @@ def close_pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
         overlap = low + high + 1
         whole = (x["low"] + x["high"] + 1 == x["size"])[a] & (x["low"] + x["high"] + 1 == x["size"])[b]
         enough = overlap >= np.minimum(OVERLAP, np.minimum(x["size"][a], x["size"][b]))
-        out[at : at + PAIRS] = np.where(whole, enough & (bits <= ERRORS * 32 * overlap), bits <= LOCAL * 32 * overlap)
+        out[at : at + PAIRS] = ~whole | enough & (bits <= ERRORS * 32 * overlap)
     return out
 
 
+def votes_at(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs that are held whole: the votes for the key's offset, and whether the key is the first one that votes for it."""
+    votes, first = np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=bool)
+    place = np.arange(2 * AROUND + 1)
+    for at in range(0, len(i), PAIRS):
+        a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+        low, high = np.minimum(x["low"][a], x["low"][b]), np.minimum(x["high"][a], x["high"][b])
+        same = ((x["frames"][a] ^ x["frames"][b]) >> np.uint32(16) == 0) & (place >= AROUND - low[:, None]) & (place <= AROUND + high[:, None])
+        vote = same[:, : -2 * STEP] & same[:, STEP:-STEP] & same[:, 2 * STEP :]
+        votes[at : at + PAIRS], first[at : at + PAIRS] = vote.sum(axis=1), ~vote[:, :AROUND].any(axis=1)
+    return votes, first
+
+
 def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Callable[[object], bytes | None] | None = None) -> DataFrame:
     """(id, fingerprint, class_id, n_links) of each row: the smallest id of the recordings that matches connect (null for a
-    null id without equals), and the different fingerprints it was matched with: of a key that more than DIRECT recordings hold,
-    those that were matched with the same one count their link to it.
+    null id without equals), and the number of different fingerprints that it matches.
 
     Rows with an empty fingerprint are one class each; equal rows share a class; other columns are ignored; an empty table
     gives an empty frame. Ids are whole numbers.
@@ -213,23 +225,23 @@ def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Calla
         for frame in batches:
             for node, fp in zip(frame["node"], frame["fingerprint"], strict=True):
                 keys = keys_of(np.asarray(fp, dtype=np.int32).view(np.uint32))
-                fresh = np.unique(keys, return_index=True)[1]  # a key that is held long or repeats votes once
-                yield pd.DataFrame({"key": keys[fresh], "at": fresh.astype(np.int32), "node": np.int64(node)})
+                _, fresh, n = np.unique(keys, return_index=True, return_counts=True)  # a key that is held long or repeats is one row
+                yield pd.DataFrame({"key": keys[fresh], "at": fresh.astype(np.int32), "again": n > 1, "node": np.int64(node)})
 
-    keys = materialize(distinct.select("node", "fingerprint").mapInPandas(keyed, "key long, at int, node long"), "keys")
-    shared = materialize(shared_rows(keys, "key", "node").select("key", "at", "node", "size"), "shared")
+    keys = materialize(distinct.select("node", "fingerprint").mapInPandas(keyed, "key long, at int, again boolean, node long"), "keys")
+    shared = materialize(shared_rows(keys, "key", "node").select("key", "at", "again", "node", "size"), "shared")
 
     @F.pandas_udf("low int, high int, frames binary")
     def held(prints: pd.Series, at: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([around_key(np.asarray(p, dtype=np.int32).view(np.uint32), k) for p, k in zip(prints, at, strict=True)], columns=["low", "high", "frames"])
 
-    names = ["node", "component", "low", "high", "size", "frames"]
+    names = ["node", "again", "low", "high", "size", "frames"]
 
     def tiled(rows: DataFrame) -> DataFrame:
-        """(key, tile, arrays) of rows (key, at, node, size, component), where size counts the key's rows."""
+        """(key, tile, arrays) of rows (key, at, again, node, size), where size counts the key's rows."""
         tile = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int")
         full = rows.withColumn("tile", tile).join(distinct.select("node", "fingerprint"), "node")
-        full = full.select("key", "tile", "node", "component", F.size("fingerprint").alias("size"), held("fingerprint", "at").alias("held")).select("key", "tile", "node", "component", "size", "held.*")
+        full = full.select("key", "tile", "node", "again", F.size("fingerprint").alias("size"), held("fingerprint", "at").alias("held")).select("key", "tile", "node", "again", "size", "held.*")
         tiles = full.groupBy("key", "tile").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("own"))
         return tiles.select("key", "tile", *(F.col(f"own.{c}").alias(c) for c in names))
 
@@ -238,45 +250,37 @@ def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Calla
         out["frames"] = np.frombuffer(b"".join(x for own in frame[side + "frames"] for x in own), dtype="<u4").reshape(-1, 2 * AROUND + 1)
         return out
 
-    def found(x: dict[str, np.ndarray], parts: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        """Close pairs as (node, rep), compared so many at a time."""
-        out = [np.empty((0, 2), dtype=np.int64)]
-        i, j = (np.concatenate([p[k] for p in parts] or [np.empty(0, dtype=np.int64)]) for k in (0, 1))
-        good = close_pairs(x, i, j)
-        pair = np.column_stack([x["node"][i[good]], x["node"][j[good]]])
-        out.append(pair[pair[:, 0] != pair[:, 1]])
-        out = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pd.DataFrame({"node": out[:, 1], "rep": out[:, 0]})
-
-    def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        """Pairs (node, rep) that may match, and whether they surely do."""
+        some = x["again"][i] | x["again"][j]
+        some[~some] = close_pairs(x, i[~some], j[~some])
+        i, j = i[some], j[some]
+        exact = x["low"] + x["high"] + 1 == x["size"]
+        exact = exact[i] & exact[j] & ~x["again"][i] & ~x["again"][j]
+        votes, first = votes_at(x, i[exact], j[exact])
+        wanted = np.ones(len(i), dtype=bool)
+        wanted[exact] = first & (votes >= VOTES)
+        sure = exact & (np.minimum(x["size"][i], x["size"][j]) >= OVERLAP)
+        a, b = x["node"][i], x["node"][j]
+        return pd.DataFrame({"node": np.maximum(a, b)[wanted], "rep": np.minimum(a, b)[wanted], "sure": sure[wanted]})
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            parts, at = [], 0
-            for own in frame["node"]:
-                n = len(own)
-                i, j = np.tril_indices(n, -1) if n <= DIRECT else (np.arange(1, n), np.zeros(n - 1, dtype=np.int64))
-                parts.append((at + i, at + j))
-                at += n
-            yield found(arrays(frame), parts)
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for k in range(len(frame)):
-                x = arrays(frame.iloc[k : k + 1])
-                n = len(x["node"])
-                for i in range(1, n):
-                    j = np.flatnonzero(x["component"][:i] != x["component"][i])
-                    if len(j):
-                        yield found(x, [(np.full(len(j), i), j)])
+            sizes = frame["node"].map(len)
+            small = frame[sizes <= DIRECT]
+            if len(small):
+                n = sizes[sizes <= DIRECT].to_numpy()
+                parts = [np.array(np.tril_indices(k, -1)) + at for k, at in zip(n, n.cumsum() - n, strict=True)]
+                yield found(arrays(small), *np.hstack(parts))
+            for k in np.flatnonzero(sizes > DIRECT):
+                yield found(arrays(frame.iloc[k : k + 1]), *np.tril_indices(sizes.iloc[k], -1))
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for k in range(len(frame)):
                 a, b = arrays(frame.iloc[k : k + 1]), arrays(frame.iloc[k : k + 1], "other_")
-                n, x = len(a["node"]), {c: np.concatenate([a[c], b[c]]) for c in names}
-                for i in range(n):
-                    j = n + np.flatnonzero(b["component"] != a["component"][i])
-                    if len(j):
-                        yield found(x, [(np.full(len(j), i), j)])
+                n, m = len(a["node"]), len(b["node"])
+                yield found({c: np.concatenate([a[c], b[c]]) for c in names}, np.repeat(np.arange(n), m), n + np.tile(np.arange(m), n))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -287,24 +291,16 @@ def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Calla
         both = pairs.join(distinct.select("node", F.col("fingerprint").alias("fa")), "node").join(distinct.select(F.col("node").alias("rep"), F.col("fingerprint").alias("fb")), "rep")
         return materialize(both.select("node", "rep", "fa", "fb").mapInPandas(verify, "node long, rep long"), "matches")
 
-    kind = "node long, rep long"
-    with batches_of(media.sparkSession, 256):
-        tried = materialize(tiled(shared.withColumn("component", F.col("node"))).mapInPandas(first_round, kind).distinct(), "pairs")
-    links = verified(tried)
-    # crowded keys: recordings that aren't in one component yet
-    crowd = shared.where(F.col("size") > DIRECT)
-    if not crowd.isEmpty():
-        known = connected_components(links, "node", "rep")
-        placed = materialize(crowd.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-        placed = keyed_join(placed, materialize(several, "several"), ["key"])
-        with batches_of(media.sparkSession, 64):
-            tiles = tiled(placed)
-            large = materialize(tiled(placed.where(F.col("size") > TILE)), "tiles")
+    kind = "node long, rep long, sure boolean"
+    with batches_of(media.sparkSession, 64):
+        pairs = tiled(shared).mapInPandas(within, kind)
+        large = shared.where(F.col("size") > TILE)
+        if not large.isEmpty():
+            large = materialize(tiled(large), "tiles")
             other = large.select("key", *(F.col(c).alias(f"other_{c}") for c in ("tile", *names)))
-            more = tiles.mapInPandas(across, kind).unionByName(large.join(other, "key").where("tile < other_tile").mapInPandas(between, kind))
-            more = materialize(more.distinct().join(tried, ["node", "rep"], "left_anti"), "pairs")
-        links = links.unionByName(verified(more))
+            pairs = pairs.unionByName(large.join(other, "key").where("tile < other_tile").mapInPandas(between, kind))
+        pairs = materialize(pairs.groupBy("node", "rep").agg(F.max("sure").alias("sure")), "pairs")
+    links = materialize(pairs.where("sure").select("node", "rep").unionByName(verified(pairs.where("not sure").select("node", "rep"))), "links")
     found_classes = connected_components(links, "node", "rep")
     degree = links.select(F.explode(F.array("node", "rep")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = distinct.select("print", "node").join(found_classes, "node", "left").join(degree, "node", "left").select("print", F.coalesce("component", "node").alias("class"), "n_links")

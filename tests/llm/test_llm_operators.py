@@ -356,6 +356,34 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, direct, tile):
     assert [found[i] for i in range(len(prints))] == want and 10 < len(set(want)) < len(want)
 
 
+@pytest.mark.parametrize(("direct", "tile"), [(16, 1024), (2, 4)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, direct, tile):
+    """Of a group that holds a key together, of recordings that a tile doesn't hold whole, and of those that hold a key twice."""
+    monkeypatch.setattr(audio, "DIRECT", direct)
+    monkeypatch.setattr(audio, "TILE", tile)
+    rng = np.random.default_rng(7)
+
+    def noisy(base, share):
+        flips = sum((rng.random(len(base)) < share).astype(np.uint32) << np.uint32(k) for k in range(32))
+        return base ^ flips.astype(np.uint32)
+
+    short, long, middle = (rng.integers(0, 2**32, size=n, dtype=np.uint32) for n in (60, 400, 45))
+    calm = np.concatenate([long[:150], noisy(long[150:], 0.02)])  # the only keys in common stand amid frames that differ much
+    rough = long.copy()
+    rough[:150] = noisy(long[:150], 0.33)
+    for k in (0, 5, 10, 30, 35, 40):
+        rough[40 + k] = long[40 + k]
+    rough[150:] ^= np.uint32(1 << 20)  # one bit of each frame, so no key there is shared
+    twice = np.concatenate([middle[:15], middle])  # its first keys stand there twice
+    prints = [noisy(short, 0.02) for _ in range(30)] + [long, calm, rough, middle, twice] + [noisy(long, 0.01) for _ in range(4)]
+    linked = lambda a, b: audio.matches(prints[a], prints[b])
+    assert linked(30, 32)
+    frame = spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in enumerate(prints)], "id long, fingerprint array<int>").repartition(3)
+    monkeypatch.setattr(audio, "audio_fingerprints", lambda media, *_: media)
+    found = {r["id"]: r["n_links"] for r in audio.recording_classes(frame, "id", "fingerprint").collect()}
+    assert [found[i] for i in range(len(prints))] == [sum(linked(i, j) for j in range(len(prints)) if j != i) for i in range(len(prints))]
+
+
 def test_long_vectors_are_rendered_whole():
     assert len(audio.decode_wave(audio.render([0.1, 0.2] * 200))) == audio.HOP * (400 - audio.CLASSES + 1)
 
