@@ -8,7 +8,9 @@ and accepted by the share of differing bits over the overlap at the best offset.
 Equal fingerprints collapse first. All recordings that hold a key are compared with one another in tiles, as numpy arrays of the
 frames around the key, whatever they were linked with before. Where both stand there whole, the tile decides at this offset, and a
 pair leaves it at the first key that votes for the offset only; pairs of longer recordings, and those in which the key stands at
-several places, all leave the tile and are aligned whole. So each link between different recordings is found and counted.
+several places, all leave the tile and are aligned whole. So each link between different recordings is found and counted. A pair whose
+common keys all vote for one offset is found once only, so of those a tile gives the number for each recording and which are
+connected, a few rows for each member of a large group.
 """
 
 from __future__ import annotations
@@ -210,6 +212,33 @@ def votes_at(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np
     return votes, first
 
 
+def common_keys(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many pairs of equal keys, at any offset, pairs of recordings have that are held whole."""
+    outer = (x["frames"] >> np.uint32(16)).astype(np.int64)
+    keys = outer[:, : -2 * STEP] | outer[:, STEP:-STEP] << 16 | outer[:, 2 * STEP :] << 32
+    place = np.arange(keys.shape[1])
+    own = (place >= AROUND - x["low"][:, None]) & (place + 2 * STEP <= AROUND + x["high"][:, None])
+    out, some = np.zeros(len(i), dtype=np.int64), np.flatnonzero(own.any(axis=0))
+    keys, own = keys[:, some], own[:, some]
+    for at in range(0, len(i), PAIRS >> 4):
+        a, b = i[at : at + (PAIRS >> 4)], j[at : at + (PAIRS >> 4)]
+        out[at : at + len(a)] = ((keys[a][:, :, None] == keys[b][:, None, :]) & own[a][:, :, None] & own[b][:, None, :]).sum(axis=(1, 2))
+    return out
+
+
+def least_connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that pairs connect it with."""
+    out = np.arange(n)
+    while len(i):
+        before = out.copy()
+        np.minimum.at(out, i, out[j])
+        np.minimum.at(out, j, out[i])
+        out = out[out]
+        if (out == before).all():
+            break
+    return out
+
+
 def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Callable[[object], bytes | None] | None = None) -> DataFrame:
     """(id, fingerprint, class_id, n_links) of each row: the smallest id of the recordings that matches connect (null for a
     null id without equals), and the number of different fingerprints that it matches.
@@ -251,7 +280,8 @@ def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Calla
         return out
 
     def found(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        """Pairs (node, rep) that may match, and whether they surely do."""
+        """Pairs (node, rep) that may match, and whether they surely do; of those that no other tile or key gives, only (node, rep) that are
+        connected (n is 0) and how many each node has (n, without rep)."""
         some = x["again"][i] | x["again"][j]
         some[~some] = close_pairs(x, i[~some], j[~some])
         i, j = i[some], j[some]
@@ -261,8 +291,17 @@ def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Calla
         wanted = np.ones(len(i), dtype=bool)
         wanted[exact] = first & (votes >= VOTES)
         sure = exact & (np.minimum(x["size"][i], x["size"][j]) >= OVERLAP)
-        a, b = x["node"][i], x["node"][j]
-        return pd.DataFrame({"node": np.maximum(a, b)[wanted], "rep": np.minimum(a, b)[wanted], "sure": sure[wanted]})
+        i, j, sure, votes = i[wanted], j[wanted], sure[wanted], votes[wanted[exact]]
+        once, firm = np.zeros(len(i), dtype=bool), np.flatnonzero(exact[wanted])
+        held = np.maximum(x["size"][i[firm]], x["size"][j[firm]]) <= AROUND + 1  # whole around any key
+        once[firm] = sure[firm] & held & (votes == common_keys(x, i[firm], j[firm]))
+        own, place = np.unique(x["node"], return_inverse=True)  # a frame may hold several keys of a recording
+        least = least_connected(len(own), place[i[once]], place[j[once]])
+        count = np.bincount(np.concatenate([place[i[once]], place[j[once]]]), minlength=len(own))
+        joined, counted = np.flatnonzero(least < np.arange(len(own))), np.flatnonzero(count)
+        a, b = x["node"][i[~once]], x["node"][j[~once]]
+        parts = [(np.maximum(a, b), np.minimum(a, b), sure[~once], [None]), (own[joined], own[least[joined]], True, [0]), (own[counted], None, True, count[counted])]
+        return pd.concat([pd.DataFrame({"node": u, "rep": pd.array(v if v is not None else [None] * len(u), dtype="Int64"), "sure": y, "n": pd.array(n if len(n) == len(u) else list(n) * len(u), dtype="Int64")}) for u, v, y, n in parts])
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -291,7 +330,7 @@ def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Calla
         both = pairs.join(distinct.select("node", F.col("fingerprint").alias("fa")), "node").join(distinct.select(F.col("node").alias("rep"), F.col("fingerprint").alias("fb")), "rep")
         return materialize(both.select("node", "rep", "fa", "fb").mapInPandas(verify, "node long, rep long"), "matches")
 
-    kind = "node long, rep long, sure boolean"
+    kind = "node long, rep long, sure boolean, n long"
     with batches_of(media.sparkSession, 64):
         pairs = tiled(shared).mapInPandas(within, kind)
         large = shared.where(F.col("size") > TILE)
@@ -299,10 +338,11 @@ def recording_classes(media: DataFrame, id_col: str, audio_col: str, load: Calla
             large = materialize(tiled(large), "tiles")
             other = large.select("key", *(F.col(c).alias(f"other_{c}") for c in ("tile", *names)))
             pairs = pairs.unionByName(large.join(other, "key").where("tile < other_tile").mapInPandas(between, kind))
-        pairs = materialize(pairs.groupBy("node", "rep").agg(F.max("sure").alias("sure")), "pairs")
-    links = materialize(pairs.where("sure").select("node", "rep").unionByName(verified(pairs.where("not sure").select("node", "rep"))), "links")
-    found_classes = connected_components(links, "node", "rep")
-    degree = links.select(F.explode(F.array("node", "rep")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        pairs = materialize(pairs.groupBy("node", "rep", F.col("n").isNull().alias("pair")).agg(F.max("sure").alias("sure"), F.sum("n").alias("n")), "pairs")
+    links = materialize(pairs.where("pair and sure").select("node", "rep").unionByName(verified(pairs.where("pair and not sure").select("node", "rep"))), "links")
+    found_classes = connected_components(links.unionByName(pairs.where("not pair and rep is not null").select("node", "rep")), "node", "rep")
+    degree = links.select(F.explode(F.array("node", "rep")).alias("node"), F.lit(1).cast("long").alias("n")).unionByName(pairs.where("not pair and rep is null").select("node", "n"))
+    degree = degree.groupBy("node").agg(F.sum("n").alias("n_links"))
     known = distinct.select("print", "node").join(found_classes, "node", "left").join(degree, "node", "left").select("print", F.coalesce("component", "node").alias("class"), "n_links")
     out = prints.join(known, "print", "left")
     return out.select(F.col("id").alias(id_col), "fingerprint", F.coalesce("class", F.col("id").cast("long")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

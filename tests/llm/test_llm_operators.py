@@ -375,7 +375,7 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, direct, tile):
         rough[40 + k] = long[40 + k]
     rough[150:] ^= np.uint32(1 << 20)  # one bit of each frame, so no key there is shared
     twice = np.concatenate([middle[:15], middle])  # its first keys stand there twice
-    prints = [noisy(short, 0.02) for _ in range(30)] + [long, calm, rough, middle, twice] + [noisy(long, 0.01) for _ in range(4)]
+    prints = [noisy(short, 0.02) for _ in range(30)] + [long, calm, rough, middle, twice] + [noisy(long, 0.01) for _ in range(4)] + [noisy(middle, 0.02) for _ in range(25)]
     linked = lambda a, b: audio.matches(prints[a], prints[b])
     assert linked(30, 32)
     frame = spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in enumerate(prints)], "id long, fingerprint array<int>").repartition(3)
