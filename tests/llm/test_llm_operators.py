@@ -418,6 +418,15 @@ def test_passages(spark, odd, odd_rows, none):
     assert passages.passage_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("direct", [256, 2])
+def test_all_documents_of_a_crowded_window_are_linked(spark, monkeypatch, direct):
+    """Each of nine texts with one passage counts its links to the eight others, whatever the first of them stands for."""
+    monkeypatch.setattr(passages, "DIRECT", direct)
+    docs = [(i, f"{words(60, 100 + i)} {words(70, 99)} {words(40, 200 + i)}") for i in range(9)] + [(9, words(150, 300))]
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in passages.passage_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {i: (0, 8) for i in range(9)} | {9: (9, 0)}
+
+
 def test_every_diagonal():
     line, shared = words(9, 60).split(), words(60, 61).split()
     tokens = lambda x: passages.shingles_of([w.encode() for w in x])
