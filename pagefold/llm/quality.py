@@ -6,7 +6,7 @@ round both views name the unlabelled documents they are surest of, and the other
 Each view is then calibrated on labelled rows that it never learnt from, and the calibrated log-odds are combined by a last
 small model on the same rows. Fitting uses a bounded, documented sample (``LABELLED`` and ``UNLABELLED`` rows, spread by
 hash, of ``CHARS`` characters together at most), so it costs the same at any size, and the driver holds four bytes for each feature of the
-sample; scoring is one narrow pass over all documents with weights of a fixed size.
+sample, which it reads a partition at a time; scoring is one narrow pass over all documents with weights of a fixed size.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ FEATURES = 1 << 20
 WORDS = 1 << 18
 SHAPES = 1 << 8
 META = 1 << 8
+#: What a word feature that is present counts: a text has about fifty of those that matter.
+WORD_VALUE = float(1 / np.sqrt(50))
 ROUNDS = 3
 #: Pseudo-labels that a view may give for each class in a round, and how sure it has to be.
 NAMED = 200
@@ -131,16 +133,16 @@ class Rows:
             out[rows] += self.value**2 * np.bincount(np.repeat(np.arange(len(sizes)), sizes), by[index] ** 2, len(sizes))
         return out
 
-    def chosen(self, rows: np.ndarray) -> Rows:
-        begins = np.cumsum(self.sizes) - self.sizes
-        return Rows([self.index[begins[k] : begins[k] + self.sizes[k]] for k in rows], self.sparse_width, self.value, self.dense[rows])
-
-    def only(self, wanted: np.ndarray) -> Rows:
-        """Without the sparse features that aren't wanted."""
-        out = Rows([], self.sparse_width, self.value, self.dense)
-        keep = np.concatenate([wanted[index] for _, _, index in self.parts()] + [np.empty(0, dtype=bool)])
-        out.sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(self.sizes)])])
-        out.index, out.n, out.width = self.index[keep], self.n, self.width
+    def only(self, wanted: np.ndarray, chosen: np.ndarray) -> Rows:
+        """The chosen rows, without the sparse features that aren't wanted; what is left out is never copied."""
+        out = Rows([], self.sparse_width, self.value, self.dense[chosen])
+        index, n = [out.index], [out.sizes]
+        for rows, sizes, found in self.parts():
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            keep = wanted[found] & chosen[rows][own]
+            index.append(found[keep])
+            n.append(np.bincount(own[keep], minlength=len(sizes))[chosen[rows]])
+        out.index, out.sizes, out.n, out.width = np.concatenate(index), np.concatenate(n), int(chosen.sum()), self.width
         return out
 
 
@@ -162,7 +164,8 @@ class Linear:
 
 
 def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 0.01, steps: int = 200, smooth: float = 0.5) -> Linear:
-    """Logistic regression on features scaled by their log-count ratios, by accelerated gradient steps."""
+    """Logistic regression on features scaled by their log-count ratios, by accelerated gradient steps; rows without weight are as if they weren't there."""
+    used = weight > 0
     positive, negative = weight * y, weight * (1 - y)
     p, q = rows.transposed(positive) + smooth, rows.transposed(negative) + smooth
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -170,8 +173,8 @@ def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, penalty: float = 0.01, st
     a, b = rows.presence(positive), rows.presence(negative)
     share = positive.sum() / max(positive.sum() + negative.sum(), 1e-9)
     evidence = 2 * (_xlog(a, (a + b) * share) + _xlog(b, (a + b) * (1 - share)))
-    ratio[(evidence < EVIDENCE) & (rows.presence(np.ones(rows.n)) < rows.n)] = 0
-    few = rows.only(ratio[: rows.sparse_width] != 0)
+    ratio[(evidence < EVIDENCE) & (rows.presence(used.astype(np.float64)) < used.sum())] = 0
+    few, y, weight = rows.only(ratio[: rows.sparse_width] != 0, used), y[used], weight[used]
     w, b, w0, b0 = np.zeros(rows.width), 0.0, np.zeros(rows.width), 0.0
     curve = 0.25 * float((weight * few.squares(ratio)).sum() + weight.sum()) / 4 + penalty
     for k in range(steps):
@@ -227,15 +230,18 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, part: np.ndarray) -> Target:
     models: list[Linear] = [None, None]
     for turn in range(ROUNDS + 1):
         for v in (0, 1):
-            chosen = np.concatenate([learn, np.array(sorted(guesses[v]), dtype=np.int64)]).astype(np.int64)
-            target = np.concatenate([y[learn], [guesses[v][i] for i in sorted(guesses[v])]]).astype(np.float64)
-            weight = np.concatenate([np.ones(len(learn)), np.full(len(guesses[v]), 0.5)])
-            models[v] = fit(views[v].chosen(chosen), target, weight)
+            # rows are chosen by their weight, so the features aren't copied
+            target, weight = np.maximum(y, 0).astype(np.float64), np.zeros(len(y))
+            weight[learn] = 1.0
+            for i, label in guesses[v].items():
+                target[i], weight[i] = label, 0.5
+            models[v] = fit(views[v], target, weight)
         if turn == ROUNDS or not len(free) or not len(held):
             break
         for v in (0, 1):
-            scale = calibrate(models[v].score(views[v].chosen(held))[:, None], y[held])
-            p = _sigmoid(scale[0] * models[v].score(views[v].chosen(free)) + scale[1])
+            scored = models[v].score(views[v])
+            scale = calibrate(scored[held][:, None], y[held])
+            p = _sigmoid(scale[0] * scored[free] + scale[1])
             ranked = np.lexsort((free, p))
             for label, best in ((0, ranked[:NAMED]), (1, ranked[::-1][:NAMED])):
                 for k in best:
@@ -243,25 +249,45 @@ def cotrain(text: Rows, meta: Rows, y: np.ndarray, part: np.ndarray) -> Target:
                         guesses[1 - v][int(free[k])] = label
     if not len(held):
         held = learn
-    a, b = models[0].score(text.chosen(held)), models[1].score(meta.chosen(held))
+    a, b = models[0].score(text)[held], models[1].score(meta)[held]
     sa, sb = calibrate(a[:, None], y[held]), calibrate(b[:, None], y[held])
     mix = calibrate(np.column_stack([sa[0] * a + sa[1], sb[0] * b + sb[1]]), y[held])
     return Target(models[0], models[1], sa, sb, mix)
 
 
 def text_rows(features: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-    return Rows([i for i, _ in features], WORDS, float(1 / np.sqrt(50)), np.array([d for _, d in features], dtype=np.float32).reshape(-1, SHAPES))
+    return Rows([i for i, _ in features], WORDS, WORD_VALUE, np.array([d for _, d in features], dtype=np.float32).reshape(-1, SHAPES))
+
 
+def fit_targets(sample: DataFrame, targets: tuple[str, ...]) -> dict[str, Target | None]:
+    """sample: a written table of columns id, words, shapes, meta (packed numbers), part, and each target (0, 1 or missing); an id that is repeated counts once.
 
-def fit_targets(features: pd.DataFrame, targets: tuple[str, ...]) -> dict[str, Target | None]:
-    """features: columns words, shapes, meta (packed numbers, taken out of the frame), part, and each target (0, 1 or missing)."""
-    text = text_rows([(np.frombuffer(i, dtype=np.int32), np.frombuffer(d, dtype=np.float32)) for i, d in zip(features.pop("words"), features.pop("shapes"), strict=True)])
-    meta = Rows([np.frombuffer(i, dtype=np.int32) for i in features.pop("meta")], META)
-    out = {}
-    for name in targets:
-        y = features[name].astype("float64").fillna(-1).to_numpy(dtype=np.int64)
-        out[name] = cotrain(text, meta, y, features["part"].to_numpy(dtype=bool)) if (y >= 0).any() else None
-    return out
+    The driver reads it by id, a partition at a time, and holds its features once, in arrays whose size is known before.
+    """
+    n, size, meta_size = sample.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in ("words", "meta"))).first()
+    text, meta = Rows([], WORDS, WORD_VALUE), Rows([], META)
+    text.index, meta.index = np.empty(size // 4, dtype=np.int32), np.empty(meta_size // 4, dtype=np.int32)
+    text.sizes, meta.sizes = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    text.n = meta.n = n
+    text.dense, text.width, meta.dense = np.zeros((n, SHAPES), dtype=np.float32), WORDS + SHAPES, np.zeros((n, 0), dtype=np.float32)
+    part, labels = np.zeros(n, dtype=bool), np.full((n, len(targets)), -1, dtype=np.int64)
+    k, ends, last = 0, [0, 0], None
+    for r in sample.sort("id").toLocalIterator():
+        if r["id"] == last:
+            continue
+        last = r["id"]
+        for v, (rows, packed) in enumerate(((text, r["words"]), (meta, r["meta"]))):
+            found = np.frombuffer(packed, dtype=np.int32)
+            rows.sizes[k] = len(found)
+            rows.index[ends[v] : ends[v] + len(found)] = found
+            ends[v] += len(found)
+        text.dense[k] = np.frombuffer(r["shapes"], dtype=np.float32)
+        part[k] = r["part"]
+        labels[k] = [-1 if r[t] is None else r[t] for t in targets]
+        k += 1
+    for rows, end in ((text, ends[0]), (meta, ends[1])):
+        rows.index, rows.sizes, rows.dense, rows.n = rows.index[:end], rows.sizes[:k], rows.dense[:k], k
+    return {t: cotrain(text, meta, y, part[:k]) if (y >= 0).any() else None for t, y in zip(targets, labels[:k].T, strict=True)}
 
 
 def _spread(frame: DataFrame, key: str, rows: int, chars: int) -> DataFrame:
@@ -309,8 +335,7 @@ def classify(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     sample = pool.mapInPandas(featurize, f"id {id_type}, words binary, shapes binary, meta binary, part boolean, " + ", ".join(f"{t} int" for t in targets))
-    table = pd.DataFrame(sample.collect(), columns=sample.columns).drop_duplicates("id").sort_values("id", kind="stable").reset_index(drop=True)
-    models = fit_targets(table, targets) if len(table) else dict.fromkeys(targets)
+    models = fit_targets(materialize(sample, "sample"), targets)
     sent = spark.sparkContext.broadcast({t: m and m.packed() for t, m in models.items()})
     fields = [f"{p}_{t}" for t in targets for p in ("p", "text", "meta")]
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import wave
 import zlib
 from collections import Counter
@@ -212,6 +213,29 @@ def test_classifier(spark, odd, odd_rows, none):
     assert {(r["p_quality"], r["p_toxic"]) for r in quality.classify(odd, labels.limit(0)).collect()} == {(0.5, 0.5)}
 
 
+def test_fitting_copies_no_sample(monkeypatch):
+    """Views are fitted on chosen rows without a copy of all features, and as if the other rows weren't there."""
+    monkeypatch.setattr(quality, "FEATURES", 1 << 17)
+    rng = np.random.default_rng(3)
+    sparse = [np.unique(rng.integers(0, quality.WORDS, 2000)).astype(np.int32) for _ in range(3000)]
+    y = np.arange(3000) % 3 - 1
+    for i in np.flatnonzero(y == 1):
+        sparse[i] = np.append(sparse[i], np.int32(7))
+    rows, part = quality.Rows(sparse, quality.WORDS), np.arange(3000) % 4 == 0
+    meta = quality.Rows([np.array([0], dtype=np.int32)] * 3000, quality.META)
+    weight, steps = (y >= 0).astype(np.float64), 10
+    tracemalloc.start()
+    target = quality.cotrain(rows, meta, y, part)
+    whole = quality.fit(rows, np.maximum(y, 0).astype(np.float64), weight, steps=steps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * rows.index.nbytes
+    used = np.flatnonzero(weight)
+    alone = quality.fit(quality.Rows([sparse[i] for i in used], quality.WORDS), y[used].astype(np.float64), np.ones(len(used)), steps=steps)
+    assert np.allclose(whole.weights, alone.weights) and np.isclose(whole.bias, alone.bias)
+    assert np.mean((target.probabilities(rows, meta)[2][used] > 0.5) == (y[used] == 1)) > 0.99
+
+
 # 5
 
 
