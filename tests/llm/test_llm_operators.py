@@ -451,6 +451,51 @@ def test_all_documents_of_a_crowded_window_are_linked(spark, monkeypatch, direct
     assert found == {i: (0, 8) for i in range(9)} | {9: (9, 0)}
 
 
+def test_windows_take_one_shuffle(spark, monkeypatch):
+    """Windows go through one shuffle, by min-hash, with four numbers each; they aren't written, and what is shuffled for a table goes with it."""
+    text = words(60, 80)
+    docs = spark.createDataFrame([(2**60 + i, f"{words(300, 90 + i)} {text} {words(300, 190 + i)}") for i in range(6)], "doc_id long, text string")
+    written, removed, key = [], set(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    inner = passages.materialize
+
+    def watched(frame, label):
+        written.append(label)
+        removed.add(spark.conf.get(key, "false"))
+        return inner(frame, label)
+
+    monkeypatch.setattr(passages, "materialize", watched)
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in passages.passage_classes(docs).collect()}
+    assert found == {2**60 + i: (2**60, 5) for i in range(6)}
+    assert "windows" not in written and "contexts" not in written and removed == {"true"}
+    assert spark.conf.get(key, "false") == "false"
+    assert passages.windows_frame(docs.select(docs.doc_id.alias("doc"), "text"), 50).columns == ["key", "doc", "x0", "x2"]
+
+
+def test_every_text_of_an_id_is_verified(spark, monkeypatch):
+    """Rows of one id may hold several texts; a passage of either one links it. Blocks of one document and of many give the same."""
+    one, two = words(70, 301), words(70, 302)
+    rows = [(5, f"{words(90, 303)} {one}"), (5, f"{words(90, 304)} {two}"), (6, f"{words(90, 305)} {one}"), (7, f"{words(90, 306)} {two}"), (8, words(200, 307))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1, 32):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        found = {(r["doc_id"], r["class_id"], r["n_links"]) for r in passages.passage_classes(docs).collect()}
+        assert found == {(5, 5, 2), (6, 5, 1), (7, 5, 1), (8, 8, 0)}
+
+
+def test_groups_and_their_pairs():
+    """Documents meet in a min-hash and a context; equal groups come once, and the pairs of groups are all pairs."""
+    key = np.array([1, 1, 1, 2, 3, 3, 3, 4, 4], dtype=np.int64)
+    doc = np.array([9, 7, 7, 5, 1, 2, 3, 7, 9], dtype=np.int64)
+    found = np.array([10, 10, 10, 10, 10, 11 << 32, 10 | 11 << 32, 10, 10], dtype=np.int64)
+    own, begins = passages.groups_of(key, doc, [found])
+    assert sorted(tuple(own[a:b].tolist()) for a, b in zip(begins, begins[1:], strict=False)) == [(1, 3), (2, 3), (7, 9)]
+    own, begins = np.array([1, 2, 3, 4, 2, 3, 9]), np.array([0, 4, 4, 7])
+    pairs = {tuple(p) for part in passages.pairs_within(own, begins) for p in part.tolist()}
+    assert pairs == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (2, 9), (3, 9)}
+    none = passages.groups_of(*(np.empty(0, dtype=np.int64),) * 2, [np.empty(0, dtype=np.int64)])
+    assert not len(none[0]) and not len(list(passages.pairs_within(*none)))
+
+
 def test_every_diagonal():
     line, shared = words(9, 60).split(), words(60, 61).split()
     tokens = lambda x: passages.shingles_of([w.encode() for w in x])
